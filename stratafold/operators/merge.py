@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.operators.sizing import BROADCAST_BYTES, fits_broadcast, null_spread
+from stratafold.operators.sizing import BROADCAST_BYTES, fits_broadcast, null_spread, plan_bytes
 
 
 def newest_wins(
@@ -24,16 +24,17 @@ def newest_wins(
     inserted, NULL keys included.  Keys must be unique within each side (run
     ``keep_latest`` on the batch first).
 
-    A batch of checked size is broadcast, so the large target is read once more by
-    key but never shuffled; a larger one takes a full outer join.
+    A batch of checked size, and much smaller than the target, is broadcast: the
+    target is read once more by key but never shuffled.  Otherwise both sides meet
+    in a full outer join.
     """
     keys = list(keys)
     columns = target.columns
     source = source.select(*columns)
-    packed = source.select(
-        *[F.col(k).alias(f"_s_{k}") for k in keys], F.struct(*columns).alias("_s")
-    )
-    if fits_broadcast(source, broadcast_bytes):
+    if fits_broadcast(source, broadcast_bytes) and plan_bytes(target) > 4 * plan_bytes(source):
+        packed = source.select(
+            *[F.col(k).alias(f"_s_{k}") for k in keys], F.struct(*columns).alias("_s")
+        )
         on = _equal(target, packed, keys)
         kept = target.join(F.broadcast(packed), on, "left")
         newer = F.col(f"_s.{version}") > F.col(version)

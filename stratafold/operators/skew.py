@@ -66,11 +66,14 @@ def add_range(df: DataFrame, borders: DataFrame, key: str, **orders: str) -> Dat
     joined = df.join(broadcast_if_small(borders, _STAGED_BYTES), key, "left")
     cold = F.col("_borders").isNull()
     for name, order in orders.items():
-        below = F.size(F.filter("_borders", lambda border, o=order: border <= F.col(o)))
-        joined = joined.withColumn(name, F.when(cold, F.lit(0)).otherwise(below))
+        joined = joined.withColumn(name, F.when(cold, F.lit(0)).otherwise(_borders_upto(F.col(order))))
     return joined.withColumn("_hot", ~cold).drop("_borders")
 
 
+def _borders_upto(order: Column) -> Column:
+    return F.size(F.filter("_borders", lambda border: border <= order))
+
+
 def neighbour(
     df: DataFrame,
     key: str,

@@ -91,36 +91,31 @@ def response_summary(matched: DataFrame, group: str) -> DataFrame:
 def cohort_retention(events: DataFrame, customers: DataFrame) -> DataFrame:
     """Active customers by signup month and month of activity.
 
-    Events and customers are each cut to one row per customer holding a small set
-    of months, with a partial aggregate before the shuffle.  Both sides are then
-    laid out by customer, so the join needs no further shuffle, and each (customer,
-    cohort, month) occurs once, which makes the distinct counts plain ones.
+    Both sides are made distinct before the join, with a partial step ahead of the
+    shuffle, so a customer with very many events sends a few month rows.  After that
+    each (customer, cohort, month) occurs once and the distinct counts are plain ones.
     """
-    active = (
+    activity = (
         events.filter(F.col("_customer_exists"))
-        .groupBy("customer_id")
-        .agg(F.collect_set(month_of("occurred_at")).alias("_months"))
+        .select("customer_id", F.trunc("occurred_at", "month").alias("_month"))
+        .distinct()
     )
     cohorts = (
-        customers.filter(F.col("is_current") & F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(F.collect_set(month_of("signup_date")).alias("_cohorts"))
-    )
-    sizes = (
-        cohorts.select(F.explode("_cohorts").alias("_cohort"))
-        .groupBy("_cohort")
-        .agg(F.count("*").alias("cohort_customers"))
+        customers.filter(
+            F.col("is_current") & F.col("customer_id").isNotNull() & F.col("signup_date").isNotNull()
+        )
+        .select("customer_id", F.trunc("signup_date", "month").alias("_cohort"))
+        .distinct()
     )
-    counts = (
-        cohorts.join(active, "customer_id")
-        .select(F.explode("_cohorts").alias("cohort_month"), "_months")
-        .select("cohort_month", F.explode("_months").alias("activity_month"))
-        .groupBy("cohort_month", "activity_month")
+    sizes = cohorts.groupBy(F.col("_cohort").alias("_of")).agg(F.count("*").alias("cohort_customers"))
+    active = (
+        cohorts.join(activity, "customer_id")
+        .groupBy("_cohort", "_month")
         .agg(F.count("*").alias("active_customers"))
     )
-    return counts.join(sizes, F.col("cohort_month") == F.col("_cohort")).select(
-        "cohort_month",
-        "activity_month",
+    return active.join(sizes, F.col("_cohort") == F.col("_of")).select(
+        month_of("_cohort").alias("cohort_month"),
+        month_of("_month").alias("activity_month"),
         "cohort_customers",
         "active_customers",
         percent(F.col("active_customers"), F.col("cohort_customers"), 2).alias("retention_pct"),

@@ -90,13 +90,12 @@ class Layers:
         Columns the table does not have are added to it first and are NULL on
         older rows.  The new rows become visible in one step.
         """
-        partition = {"_batch_id": batch_id}
         known = TABLES[table][0].fieldNames()
         self._add_columns(table, df)
         folder = self._new_folder(table)
         ordered = df.select(*canonical_order(df.columns, known)).drop("_batch_id")
         ordered.write.parquet(folder)
-        self._point_partition(table, partition, folder)
+        self._point_partitions(table, [({"_batch_id": batch_id}, folder)])
 
     def _add_columns(self, table: str, df: DataFrame) -> None:
         have = {c.lower() for c in self.spark.table(self.name(table)).columns}
@@ -130,27 +129,32 @@ class Layers:
         written = self.spark.read.schema(schema).format(kind).load(folder)
         # Partition values only: bounded by the number of days in the table.
         filled = {row[0] for row in written.select(column).distinct().collect()}
-        for value in touched:
-            if value in filled:
-                self._point_partition(table, {column: value}, f"{folder}/{column}={value}")
-            else:
-                self._drop_partition(table, {column: value})
+        gone = [value for value in touched if value not in filled]
+        self._point_partitions(
+            table, [({column: v}, f"{folder}/{column}={v}") for v in touched if v in filled]
+        )
+        for value in gone:
+            self.spark.sql(
+                f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({_spec({column: value})})"
+            )
+        self.spark.catalog.refreshTable(self.name(table))
 
     def append(self, table: str, df: DataFrame) -> None:
         df.select(*TABLES[table][0].fieldNames()).write.insertInto(self.name(table))
 
-    def _point_partition(self, table: str, partition: dict, folder: str) -> None:
-        spec = _spec(partition)
-        have = self.spark.sql(f"SHOW PARTITIONS {self.name(table)} PARTITION ({spec})")
-        if have.isEmpty():
-            self.spark.sql(f"ALTER TABLE {self.name(table)} ADD PARTITION ({spec}) LOCATION '{folder}'")
-        else:
-            self.spark.sql(f"ALTER TABLE {self.name(table)} PARTITION ({spec}) SET LOCATION '{folder}'")
-        self.spark.catalog.refreshTable(self.name(table))
-
-    def _drop_partition(self, table: str, partition: dict) -> None:
-        self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({_spec(partition)})")
-        self.spark.catalog.refreshTable(self.name(table))
+    def _point_partitions(self, table: str, places: list[tuple[dict, str]]) -> None:
+        """Point partitions to their new folders; the new ones are added in one step."""
+        name = self.name(table)
+        have = {row[0] for row in self.spark.sql(f"SHOW PARTITIONS {name}").collect()}
+        fresh = []
+        for partition, folder in places:
+            if "/".join(f"{k}={v}" for k, v in partition.items()) in have:
+                self.spark.sql(f"ALTER TABLE {name} PARTITION ({_spec(partition)}) SET LOCATION '{folder}'")
+            else:
+                fresh.append(f"PARTITION ({_spec(partition)}) LOCATION '{folder}'")
+        if fresh:
+            self.spark.sql(f"ALTER TABLE {name} ADD {' '.join(fresh)}")
+        self.spark.catalog.refreshTable(name)
 
     # -- inspection ------------------------------------------------------------
 
