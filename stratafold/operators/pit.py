@@ -44,6 +44,7 @@ def pit_join(
     if bounds not in ("closed", "half_open"):
         raise ValueError(f"bounds: {bounds}")
     keys = [key]
+    limits = {"hot_rows": hot_rows, "small_bytes": small_bytes}
     fact_columns = facts.columns
     version_columns = [c for c in versions.columns if c != key]
     until = F.col(at) <= F.col(valid_to) if bounds == "closed" else F.col(at) < F.col(valid_to)
@@ -51,21 +52,12 @@ def pit_join(
 
     borders = range_borders(versions, key, valid_from, many_versions, parts_for=isqrt)
     if borders is not None:
-        facts = add_range(facts, borders, key, _range=at).drop("_hot")
-        covered = add_range(versions, borders, key, _first=valid_from, _last=valid_to)
+        facts = add_range(facts, borders, key, {"_range": at}, **limits).drop("_hot")
+        covered = add_range(versions, borders, key, {"_first": valid_from, "_last": valid_to}, **limits)
         covered = covered.filter(F.col("_first") <= F.col("_last"))
         versions = covered.withColumn("_range", F.explode(F.sequence("_first", "_last"))).drop(
             "_first", "_last", "_hot"
         )
         keys.append("_range")
-    joined = salted_join(
-        facts,
-        versions,
-        keys,
-        how,
-        inside,
-        hot_rows=hot_rows,
-        small_bytes=small_bytes,
-        broadcast_bytes=broadcast_bytes,
-    )
+    joined = salted_join(facts, versions, keys, how, inside, broadcast_bytes=broadcast_bytes, **limits)
     return joined.select(*fact_columns, *version_columns)

@@ -58,12 +58,12 @@ def range_borders(
     return staged(borders, "borders")
 
 
-def add_range(df: DataFrame, borders: DataFrame, key: str, **orders: str) -> DataFrame:
-    """Add, per ``name=order``, the number of the key's borders at or below ``order``.
+def add_range(df: DataFrame, borders: DataFrame, key: str, orders: dict[str, str], **limits: int) -> DataFrame:
+    """Add, per (name, order column), the number of the key's borders at or below it.
 
-    0 for keys without borders.  Also keeps ``_hot``.
+    0 for keys without borders.  Also adds ``_hot``.
     """
-    joined = df.join(broadcast_if_small(borders, _STAGED_BYTES), key, "left")
+    joined = salted_join(df, borders, [key], "left", **{"broadcast_bytes": _STAGED_BYTES, **limits})
     cold = F.col("_borders").isNull()
     for name, order in orders.items():
         joined = joined.withColumn(name, F.when(cold, F.lit(0)).otherwise(_borders_upto(F.col(order))))
@@ -99,7 +99,8 @@ def neighbour(
     if borders is None:
         return df.withColumn(name, shift(value).over(Window.partitionBy(key).orderBy(order)))
 
-    ranged = add_range(df.withColumn("_value", F.struct(value.alias("v"))), borders, key, _range=order)
+    packed = df.withColumn("_value", F.struct(value.alias("v")))
+    ranged = add_range(packed, borders, key, {"_range": order}, hot_rows=hot_rows, small_bytes=small_bytes)
     edge = F.min_by if step == 1 else F.max_by
     # One row per hot key and range: bounded by the number of borders.
     edges = (

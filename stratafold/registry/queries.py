@@ -347,8 +347,8 @@ def ingest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through gzip JSON lines and back, microseconds and nested text included."""
     events = fx.table(spark, sf_dir, "events")
-    folder = landing.save_raw(events, new_folder(spark, "raw"), "events", BATCH_DAY)
-    return landing.read_json(spark, folder, events.schema)
+    saved = landing.save_raw(events, new_folder(spark, "raw"), "events", BATCH_DAY, updated_at="ts")
+    return landing.read_json(spark, saved.folder, events.schema)
 
 
 def batch_replace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,10 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="stratafold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stratafold-"))
+        folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 

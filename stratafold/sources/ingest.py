@@ -8,10 +8,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from stratafold.schemas import RAW_CUSTOMERS, RAW_EVENTS
 from stratafold.sources import landing
 from stratafold.sources.layers import Layers
-from stratafold.sources.relational import changed_since, high_water_mark
+from stratafold.sources.relational import changed_since
 from stratafold.sources.watermarks import read_watermark, write_watermark
 
 logger = logging.getLogger(__name__)
@@ -40,16 +39,12 @@ def ingest_source(layers: Layers, source: str, extract: Extract, batch_id: str)
     the extract instead of losing it.
     """
     since = read_watermark(layers, source)
-    folder = landing.save_raw(extract(since), layers.root, source, batch_id, since)
-    if not folder:
+    saved = landing.save_raw(extract(since), layers.root, source, batch_id, since)
+    if saved is None:
         logger.info("%s: nothing newer than %s", source, since)
         return False
-    schema = RAW_EVENTS if source == "events" else RAW_CUSTOMERS
-    # The mark comes from the stored rows: the source may have moved on meanwhile.
-    stored = landing.read_json(layers.spark, folder, schema)
-    mark = high_water_mark(stored).first()["last_updated_at"]
-    if mark is not None:
-        write_watermark(layers, source, mark)
+    if saved.mark is not None:
+        write_watermark(layers, source, saved.mark)
     return True
 
 

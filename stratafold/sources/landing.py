@@ -7,9 +7,11 @@ rerun overwrites its own files and a later extract of the same day adds to it.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.domains import FIRST_RUN
@@ -31,13 +33,33 @@ def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").options(**JSON_WRITE).json(folder)
 
 
-def save_raw(df: DataFrame, root: str, source: str, batch_id: str, since: str | None = None) -> str:
-    """Write one extract and return its folder; an empty extract writes nothing."""
+@dataclass(frozen=True)
+class Saved:
+    """A stored extract: its folder and its greatest ``updated_at``."""
+
+    folder: str
+    mark: str | None
+
+
+def save_raw(
+    df: DataFrame,
+    root: str,
+    source: str,
+    batch_id: str,
+    since: str | None = None,
+    updated_at: str = "updated_at",
+) -> Saved | None:
+    """Write one extract; None, and no file, when it is empty.
+
+    The mark is taken from the rows as they are written: no second pass, and no gap
+    between what is stored and what the mark stands for.
+    """
     if df.isEmpty():
-        return ""
+        return None
     folder = extract_folder(root, source, batch_id, since)
-    write_json(df, folder)
-    return folder
+    seen = Observation()
+    write_json(df.observe(seen, F.max(updated_at).alias("mark")), folder)
+    return Saved(folder, seen.get["mark"])
 
 
 def read_json(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -71,8 +93,6 @@ def drift_fields(spark: SparkSession, folder: str, schema: T.StructType) -> list
 
     One distributed pass over the keys; only the distinct names reach the driver.
     """
-    from pyspark.sql import functions as F
-
     lines = spark.read.options(recursiveFileLookup=True).text(folder)
     known = {name.lower() for name in schema.fieldNames()}
     names = lines.select(F.explode(F.json_object_keys("value")).alias("name")).distinct()

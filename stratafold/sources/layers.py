@@ -7,6 +7,7 @@ then points the table, or the partitions concerned, to it.  One writer per table
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -90,6 +91,8 @@ class Layers:
         Columns the table does not have are added to it first and are NULL on
         older rows.  The new rows become visible in one step.
         """
+        if not re.fullmatch(r"[0-9A-Za-z_.-]+", batch_id):
+            raise ValueError(f"batch id: {batch_id!r}")
         known = TABLES[table][0].fieldNames()
         self._add_columns(table, df)
         folder = self._new_folder(table)
