@@ -96,101 +96,87 @@ def batch_profile(
     )
 
 
-def volume_deviation(
+def batch_summary(
     profile: DataFrame, batch_id: str, history: int = domains.VOLUME_HISTORY_BATCHES
 ) -> DataFrame:
-    """One row (volume, average, deviation_pct): the batch against the ``history``
-    other batches with the greatest ids.  No history leaves average and deviation NULL."""
-    volume = profile.filter(F.col("batch") == batch_id).select(
-        F.col("rows").alias("_volume"), F.lit(None).cast("long").alias("_other")
-    )
-    others = (
-        profile.filter(F.col("batch") != batch_id)
-        .orderBy(F.col("batch").desc())
-        .limit(history)
-        .select(F.lit(None).cast("long").alias("_volume"), F.col("rows").alias("_other"))
-    )
-    both = volume.unionByName(others).agg(
-        F.coalesce(F.sum("_volume"), F.lit(0)).alias("volume"), F.avg("_other").alias("average")
-    )
-    deviation = F.abs(F.col("volume") - F.col("average")) / F.nullif("average", F.lit(0.0)) * 100
-    return both.select("volume", "average", deviation.alias("deviation_pct"))
+    """Everything the checks need from the events of one batch, in one row.
 
+    ``average`` and ``deviation_pct`` compare the volume with the ``history`` other
+    batches of the greatest ids, NULL without any.  ``lag_days`` runs from the newest
+    event of the batch to its date: 0 for an empty batch, negative when the data is
+    newer than the date.
 
-def freshness_lag(profile: DataFrame, batch_id: str) -> DataFrame:
-    """One row (newest, lag_days): days from the batch's newest event to its date;
-    0 for an empty batch, negative when the data is newer than the date."""
-    newest = profile.filter(F.col("batch") == batch_id).agg(F.max("newest").alias("newest"))
+    The profile is read once.  The list built on the way has one small entry per
+    batch ever loaded, never one per event.
+    """
+    own = F.col("batch") == batch_id
+    others = F.collect_list(F.when(F.col("batch") != batch_id, F.struct("batch", "rows")))
+    row = profile.agg(
+        F.coalesce(F.sum(F.when(own, F.col("rows"))), F.lit(0)).alias("volume"),
+        F.slice(F.sort_array(others, asc=False), 1, history).getField("rows").alias("_others"),
+        F.coalesce(F.sum("illegal"), F.lit(0)).alias("illegal_event_types"),
+        F.max(F.when(own, F.col("newest"))).alias("newest"),
+    )
+    total = F.aggregate("_others", F.lit(0).cast("long"), lambda sum_, n: sum_ + n)
+    average = total / F.nullif(F.size("_others"), F.lit(0))
     lag = F.datediff(F.lit(batch_id).cast("date"), F.col("newest"))
-    return newest.select("newest", F.coalesce(lag, F.lit(0)).cast("long").alias("lag_days"))
-
-
-def _metric(df: DataFrame, name: str, value: Column, text: Column | None = None) -> DataFrame:
-    return df.select(
-        F.lit(name).alias("name"),
-        value.cast("double").alias("value"),
-        (F.lit(None) if text is None else text).cast("string").alias("text"),
+    row = row.withColumn("average", average)
+    deviation = F.abs(F.col("volume") - F.col("average")) / F.nullif("average", F.lit(0.0)) * 100
+    return row.select(
+        "volume",
+        "average",
+        deviation.alias("deviation_pct"),
+        "illegal_event_types",
+        "newest",
+        F.coalesce(lag, F.lit(0)).cast("long").alias("lag_days"),
     )
 
 
-def _tall(metrics: Sequence[DataFrame]) -> DataFrame:
-    tall = metrics[0]
-    for metric in metrics[1:]:
-        tall = tall.unionByName(metric)
-    return tall
-
-
-def uniqueness_metrics(events: DataFrame, keys: Sequence[str] = ("event_id",)) -> DataFrame:
-    return _metric(surplus_keys(events, keys), "duplicates", F.col("duplicates"))
+def volume_deviation(profile: DataFrame, batch_id: str) -> DataFrame:
+    return batch_summary(profile, batch_id).select("volume", "average", "deviation_pct")
 
 
-def reference_metrics(events: DataFrame, customers: DataFrame) -> DataFrame:
-    current = customers.filter("is_current")
-    orphans = missing_references(events, current, "customer_id", "customer_id")
-    return _metric(orphans, "orphans", F.col("orphans"))
-
-
-def volume_metrics(profile: DataFrame, batch_id: str) -> DataFrame:
-    found = volume_deviation(profile, batch_id)
-    measures = ("volume", "average", "deviation_pct")
-    packed = F.explode(
-        F.create_map(*[x for m in measures for x in (F.lit(m), F.col(m).cast("double"))])
-    ).alias("name", "value")
-    return found.select(packed).withColumn("text", F.lit(None).cast("string"))
-
-
-def domain_metrics(profile: DataFrame, customers: DataFrame, plans: Sequence[str] = domains.PLANS) -> DataFrame:
-    event_types = profile.agg(F.coalesce(F.sum("illegal"), F.lit(0)).alias("n"))
-    illegal_plans = customers.filter(F.col("is_current")).agg(F.count_if(outside("plan", plans)).alias("n"))
-    return _tall(
-        [
-            _metric(event_types, "illegal_event_types", F.col("n")),
-            _metric(illegal_plans, "illegal_plans", F.col("n")),
-        ]
-    )
-
-
-def freshness_metrics(profile: DataFrame, batch_id: str) -> DataFrame:
-    lag = freshness_lag(profile, batch_id)
-    newest = F.date_format("newest", "yyyy-MM-dd HH:mm:ss")
-    return _metric(lag, "lag_days", F.col("lag_days"), newest)
+def freshness_lag(profile: DataFrame, batch_id: str) -> DataFrame:
+    return batch_summary(profile, batch_id).select("newest", "lag_days")
+
+
+def illegal_plans(customers: DataFrame, plans: Sequence[str] = domains.PLANS) -> DataFrame:
+    """Current customers with a plan outside the domain, in one row."""
+    current = customers.filter(F.col("is_current"))
+    return current.agg(F.count_if(outside("plan", plans)).alias("illegal_plans"))
+
+
+def _tall(row: DataFrame) -> DataFrame:
+    """One row of measures as (name, value, text); timestamps as text, the rest as numbers."""
+    nothing = {"value": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    entries = []
+    for name in row.columns:
+        fields = {"name": F.lit(name), **nothing}
+        if name == "newest":
+            fields["text"] = F.date_format(name, "yyyy-MM-dd HH:mm:ss")
+        else:
+            fields["value"] = F.col(name).cast("double")
+        entries.append(F.struct(*[column.alias(field) for field, column in fields.items()]))
+    return row.select(F.inline(F.array(*entries)))
+
+
+MEASURES = (
+    "duplicates",
+    "orphans",
+    "volume",
+    "average",
+    "deviation_pct",
+    "illegal_event_types",
+    "illegal_plans",
+    "lag_days",
+)
 
 
 def results(metrics: DataFrame, batch_id: str, checks: Sequence[Check] = CHECKS) -> DataFrame:
     """Turn tall metrics into one result row per check."""
-    names = (
-        "duplicates",
-        "orphans",
-        "volume",
-        "average",
-        "deviation_pct",
-        "illegal_event_types",
-        "illegal_plans",
-        "lag_days",
-    )
     wide = metrics.agg(
-        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names],
-        F.max(F.when(F.col("name") == "lag_days", F.col("text"))).alias("newest"),
+        *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in MEASURES],
+        F.max(F.when(F.col("name") == "newest", F.col("text"))).alias("newest"),
     )
     rows = [_row(check, batch_id) for check in checks]
     return wide.select(F.inline(F.array(*rows)))
@@ -290,19 +276,17 @@ _RULES = {
 
 def report(events: DataFrame, customers: DataFrame, batch_id: str) -> DataFrame:
     """The five result rows of a batch (without the execution time)."""
-    profile = batch_profile(events)
-    return results(
-        _tall(
-            [
-                uniqueness_metrics(events),
-                reference_metrics(events, customers),
-                volume_metrics(profile, batch_id),
-                domain_metrics(profile, customers),
-                freshness_metrics(profile, batch_id),
-            ]
-        ),
-        batch_id,
-    )
+    current = customers.filter(F.col("is_current"))
+    measured = [
+        surplus_keys(events, ["event_id"]),
+        missing_references(events, current, "customer_id", "customer_id"),
+        batch_summary(batch_profile(events), batch_id),
+        illegal_plans(customers),
+    ]
+    metrics = _tall(measured[0])
+    for row in measured[1:]:
+        metrics = metrics.unionByName(_tall(row))
+    return results(metrics, batch_id)
 
 
 def failed_rows(log: DataFrame) -> DataFrame:

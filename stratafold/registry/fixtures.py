@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratafold.functions import json_attribute, utc_text
 from stratafold.operators.dedup import keep_latest
 from stratafold.operators.scd2 import rebuild
-from stratafold.session import new_folder
+from stratafold.session import new_folder, staged
 from stratafold.sources.ingest import Feeds, feed_of
 from stratafold.sources.layers import Layers
 
@@ -185,6 +185,7 @@ def feeds_until(spark: SparkSession, sf_dir: str, day: str, drift: bool = False)
     events = raw_events(spark, sf_dir).filter(seen)
     if drift:
         events = events.withColumn("source_app", F.concat(F.lit("app-"), F.col("channel")))
+    events = staged(events, "feed")
     # The day itself is included for customers: their change falls on its first instant.
     known = F.col("updated_at") <= F.lit(f"{day}T00:00:00.000000Z")
     return Feeds(feed_of(events), feed_of(raw_customers(spark, sf_dir).filter(known)))

@@ -36,7 +36,7 @@ from stratafold.plans.gate import log_results
 from stratafold.plans.medallion import backfill, run_batch
 from stratafold.plans.silver import load_silver_events, with_day
 from stratafold.registry import fixtures as fx
-from stratafold.session import new_folder
+from stratafold.session import new_folder, staged
 from stratafold.sources import landing
 from stratafold.sources.ingest import feed_of, ingest_source
 from stratafold.sources.layers import export_delimited, read_delimited, register_view
@@ -355,7 +355,7 @@ def batch_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches of raw events, the middle one written again; rows by batch."""
     layers = fx.scratch_layers(spark, "batches")
     layers.create("bronze.events")
-    raw = fx.raw_events(spark, sf_dir)
+    raw = staged(fx.raw_events(spark, sf_dir), "feed")
     borders = ("2024-01-11", "2024-01-21", "2024-02-01")
     for batch_id in (*borders, borders[1]):
         first = max((b for b in borders if b < batch_id), default="")
@@ -370,7 +370,7 @@ def drift_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second batch brings a new field; rows of the first hold NULL there."""
     layers = fx.scratch_layers(spark, "drift")
     layers.create("bronze.events")
-    raw = fx.raw_events(spark, sf_dir)
+    raw = staged(fx.raw_events(spark, sf_dir), "feed")
     early = F.col("updated_at") < F.lit("2024-01-16")
     wider = raw.filter(~early).withColumn("source_app", F.concat(F.lit("app-"), F.col("channel")))
     for batch_id, rows in (("2024-01-16", raw.filter(early)), ("2024-02-01", wider)):
@@ -486,7 +486,7 @@ def stream_to_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = fx.scratch_layers(spark, "stream")
     layers.create("silver.events")
     checkpoint = f"{layers.root}/checkpoint"
-    raw = fx.raw_events(spark, sf_dir)
+    raw = staged(fx.raw_events(spark, sf_dir), "feed")
     early = F.col("updated_at") < F.lit("2024-01-16")
     for day, drop in (("2024-01-16", raw.filter(early)), ("2024-02-01", raw.filter(~early))):
         landing.save_raw(drop, layers.root, "events", day)
@@ -507,7 +507,7 @@ def silver_upsert_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two Bronze batches upserted into Silver, corrections moving rows to another day."""
     layers = fx.scratch_layers(spark, "upsert")
     layers.create("bronze.events")
-    raw = fx.raw_events(spark, sf_dir)
+    raw = staged(fx.raw_events(spark, sf_dir), "feed")
     early = F.col("updated_at") < F.lit("2024-01-16")
     for day, rows in (("2024-01-16", raw.filter(early)), ("2024-02-01", raw.filter(~early))):
         layers.replace_batch("bronze.events", rows.withColumns(lineage(day, "events")), day)

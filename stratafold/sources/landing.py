@@ -69,12 +69,9 @@ def read_json(spark: SparkSession, folder: str, schema: T.StructType) -> DataFra
     return reader.json(folder)
 
 
-def read_raw(
-    spark: SparkSession, root: str, source: str, batch_id: str, schema: T.StructType
-) -> DataFrame:
-    """All extracts of one day.  Top-level fields outside ``schema`` are found and kept
-    as text columns; a day without a folder is an empty batch."""
-    folder = batch_folder(root, source, batch_id)
+def read_landing(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """Every file below ``folder``, with top-level fields outside ``schema`` as text
+    columns; a missing folder is an empty table."""
     try:
         known = read_json(spark, folder, schema)
     except AnalysisException as error:
@@ -88,6 +85,13 @@ def read_raw(
     return read_json(spark, folder, wider)
 
 
+def read_raw(
+    spark: SparkSession, root: str, source: str, batch_id: str, schema: T.StructType
+) -> DataFrame:
+    """All extracts of one day; a day without any is an empty batch."""
+    return read_landing(spark, batch_folder(root, source, batch_id), schema)
+
+
 def drift_fields(spark: SparkSession, folder: str, schema: T.StructType) -> list[str]:
     """Names of top-level fields the schema lacks.
 

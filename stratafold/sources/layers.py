@@ -167,8 +167,8 @@ class Layers:
         for layer in LAYERS:
             space = f"{self.prefix}{layer}"
             if self.spark.catalog.databaseExists(space):
-                found += [(layer, t.name) for t in self.spark.catalog.listTables(space) if not t.isTemporary]
-        return sorted(found)
+                found += [(layer, t.name) for t in self.spark.catalog.listTables(space)]
+        return sorted(pair for pair in found if ".".join(pair) in TABLES)
 
     def columns(self) -> DataFrame:
         """(table_name, column_name, data_type, position) of every layer table."""
