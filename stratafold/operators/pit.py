@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import isqrt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from stratafold.operators.sizing import BROADCAST_BYTES, HOT_ROWS, SMALL_BYTES
 # Above this many versions of one key, comparing each fact with all of them costs
 # more than cutting the key into ranges of time.
 MANY_VERSIONS = 512
+VERSIONS_PER_RANGE = 128
 
 
 def pit_join(
@@ -50,7 +49,7 @@ def pit_join(
     until = F.col(at) <= F.col(valid_to) if bounds == "closed" else F.col(at) < F.col(valid_to)
     inside = (F.col(at) >= F.col(valid_from)) & until
 
-    borders = range_borders(versions, key, valid_from, many_versions, parts_for=isqrt)
+    borders = range_borders(versions, key, valid_from, many_versions, VERSIONS_PER_RANGE)
     if borders is not None:
         facts = add_range(facts, borders, key, {"_range": at}, **limits).drop("_hot")
         covered = add_range(versions, borders, key, {"_first": valid_from, "_last": valid_to}, **limits)

@@ -9,6 +9,7 @@ cut, so no task gets a whole hot key and every row is kept.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,40 +39,59 @@ def range_borders(
     key: str,
     order: str,
     max_rows: int,
-    parts_for: Callable[[int], int] | None = None,
+    rows_per_range: int | None = None,
 ) -> DataFrame | None:
     """(key, borders) for every hot key, or None when there is none.
 
-    ``borders`` are approximate quantiles of ``order``.  They are written once,
-    because every later use must see the same cut points.
+    ``borders`` are approximate quantiles of ``order``, about ``rows_per_range`` rows
+    apart.  They are written once, because every later use must see the same cut
+    points.  Coarser copies, every ``_step``-th and every ``_step``²-th border, make
+    the lookup of a value short.
     """
     hot = hot_keys(df, [key], max_rows)
     largest = hot.agg(F.max("_rows")).first()[0]
     if largest is None:
         return None
-    parts = max(2, parts_for(largest) if parts_for else -(-2 * largest // max_rows))
+    parts = max(2, -(-largest // (rows_per_range or max(1, max_rows // 2))))
+    step = max(2, ceil(parts ** (1 / 3)))
     cuts = [i / parts for i in range(1, parts)]
     rows = df.select(key, order).join(hot.select(key), key, "left_semi")
     borders = rows.groupBy(key).agg(
         F.array_distinct(F.percentile_approx(order, cuts, 20 * parts)).alias("_borders")
     )
-    return staged(borders, "borders")
+    coarser = {
+        name: F.filter("_borders", _every(every))
+        for name, every in (("_coarse", step), ("_coarsest", step * step))
+    }
+    return staged(borders.withColumns(coarser).withColumn("_step", F.lit(step)), "borders")
 
 
 def add_range(df: DataFrame, borders: DataFrame, key: str, orders: dict[str, str], **limits: int) -> DataFrame:
     """Add, per (name, order column), the number of the key's borders at or below it.
 
-    0 for keys without borders.  Also adds ``_hot``.
+    0 for keys without borders.  Also adds ``_hot``.  The coarsest borders are
+    searched first and each finer level only inside the span found above it.
     """
-    joined = salted_join(df, borders, [key], "left", **{"broadcast_bytes": _STAGED_BYTES, **limits})
-    cold = F.col("_borders").isNull()
+    columns = df.columns
+    df = salted_join(df, borders, [key], "left", **{"broadcast_bytes": _STAGED_BYTES, **limits})
+    hot = F.col("_borders").isNotNull()
     for name, order in orders.items():
-        joined = joined.withColumn(name, F.when(cold, F.lit(0)).otherwise(_borders_upto(F.col(order))))
-    return joined.withColumn("_hot", ~cold).drop("_borders")
+        # One projection per level, so that each level is computed once.
+        df = df.withColumn("_at", F.when(hot, _upto(F.col("_coarsest"), order)))
+        for level in ("_coarse", "_borders"):
+            first = (F.col("_at") - 1) * F.col("_step")
+            span = F.slice(level, F.greatest(first, F.lit(0)) + 1, "_step")
+            df = df.withColumn("_at", F.when(F.col("_at") > 0, first + _upto(span, order)).otherwise(F.col("_at")))
+        df = df.withColumn(name, F.coalesce("_at", F.lit(0)))
+    return df.select(*columns, *orders, hot.alias("_hot"))
 
 
-def _borders_upto(order: Column) -> Column:
-    return F.size(F.filter("_borders", lambda border: border <= order))
+def _every(n: int) -> Callable[[Column, Column], Column]:
+    return lambda _, i: i % n == 0
+
+
+def _upto(sorted_values: Column, order: str) -> Column:
+    return F.size(F.filter(sorted_values, lambda value: value <= F.col(order)))
 
 
 def neighbour(

@@ -186,6 +186,4 @@ def feeds_until(spark: SparkSession, sf_dir: str, day: str, drift: bool = False)
     if drift:
         events = events.withColumn("source_app", F.concat(F.lit("app-"), F.col("channel")))
     events = staged(events, "feed")
-    # The day itself is included for customers: their change falls on its first instant.
-    known = F.col("updated_at") <= F.lit(f"{day}T00:00:00.000000Z")
-    return Feeds(feed_of(events), feed_of(raw_customers(spark, sf_dir).filter(known)))
+    return Feeds(feed_of(events), feed_of(raw_customers(spark, sf_dir).filter(seen)))

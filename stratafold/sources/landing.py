@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,18 +68,17 @@ def read_json(spark: SparkSession, folder: str, schema: T.StructType) -> DataFra
     return reader.json(folder)
 
 
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_landing(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """Every file below ``folder``, with top-level fields outside ``schema`` as text
     columns; a missing folder is an empty table."""
-    try:
-        known = read_json(spark, folder, schema)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
-        raise
+    if not folder_exists(spark, folder):
+        return spark.createDataFrame([], schema)
     extra = drift_fields(spark, folder, schema)
-    if not extra:
-        return known
     wider = T.StructType([*schema, *[T.StructField(name, T.StringType(), True) for name in extra]])
     return read_json(spark, folder, wider)
 
