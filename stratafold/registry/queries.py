@@ -15,7 +15,6 @@ from stratafold.functions import (
     iso_timestamp,
     json_attribute,
     lineage,
-    month_of,
     truth,
     utc_text,
 )
