@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import exact_dedup, line_crf, mixing, packing
+from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, packing
 from stratafold.llm.common import documents
 
 #: The vocabulary file of the packing query.
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(documents(spark, sf_dir))
+
+
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return line_crf.classify(documents(spark, sf_dir), labels)
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op9_fingerprint": op9_fingerprint,
     "op10_line_crf": op10_line_crf,
 }
 
