@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stratafold.llm.common import checked, text_of
 
 TRAIN_DOCS = 1000
-TRAIN_CHARS = 60_000
+TRAIN_CHARS = 20_000
 BATCH = 1_500_000
 THRESHOLD = 0.7
 

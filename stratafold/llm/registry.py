@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, packing
+from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, packing, suffix_dedup, superkmer_dedup
 from stratafold.llm.common import documents
 
 #: The vocabulary file of the packing query.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -39,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"))
 
 
+def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer_dedup.repeat_report(documents(spark, sf_dir))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
@@ -49,9 +57,11 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_superkmer_dedup": op7_superkmer_dedup,
     "op9_fingerprint": op9_fingerprint,
     "op10_line_crf": op10_line_crf,
 }
