@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, packing, suffix_dedup, superkmer_dedup
+from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, near_dedup, packing, suffix_dedup, superkmer_dedup
 from stratafold.llm.common import documents
 
 #: The vocabulary file of the packing query.
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), TOKENIZER)
     return pieces.select(
@@ -59,6 +63,7 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_superkmer_dedup": op7_superkmer_dedup,
