@@ -298,13 +298,12 @@ def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_DOCS) -> LineMod
     return fit([t.encode() for t in sample["text"]], sample["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: LineModel) -> DataFrame:
-    """doc_id, score, n_lines, good_lines for every row."""
-    rows = checked(docs, "doc_id", "text").select("doc_id", text_of().cast("binary").alias("text"))
+def _scores(model: LineModel, carry: list[str]):
+    """A task that scores batches of rows with a ``_text`` column and keeps the carried ones."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = list(batch["text"])
+            texts = list(batch["_text"])
             at = 0
             while at < len(texts):
                 stop, size = at, 0
@@ -313,17 +312,39 @@ def score(docs: DataFrame, model: LineModel) -> DataFrame:
                     stop += 1
                 features, length, firsts = line_features([bytes(t) for t in texts[at:stop]])
                 p = model.lines(features, firsts) if model.constant is None else np.full(len(length), model.constant)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[at:stop].astype("Int64"),
-                        "score": model.calibrated(_mean_by_length(p, length, firsts)),
-                        "n_lines": np.diff(np.concatenate([firsts, [len(length)]])),
-                        "good_lines": np.add.reduceat((p >= 0.5).astype(np.int64), firsts),
-                    }
-                )
+                own = {
+                    "score": model.calibrated(_mean_by_length(p, length, firsts)),
+                    "n_lines": np.diff(np.concatenate([firsts, [len(length)]])),
+                    "good_lines": np.add.reduceat((p >= 0.5).astype(np.int64), firsts),
+                }
+                yield batch[carry].iloc[at:stop].reset_index(drop=True).assign(**own)
                 at = stop
 
-    return rows.mapInPandas(task, "doc_id long, score double, n_lines long, good_lines long")
+    return task
+
+
+def score(docs: DataFrame, model: LineModel) -> DataFrame:
+    """doc_id, score, n_lines, good_lines for every row."""
+    rows = checked(docs, "doc_id", "text").select(
+        F.col("doc_id").cast("string").alias("doc_id"), text_of().cast("binary").alias("_text")
+    )
+    scored = rows.mapInPandas(
+        _scores(model, ["doc_id"]), "doc_id string, score double, n_lines long, good_lines long"
+    )
+    # The id travels as text, as pandas would turn whole numbers beside nulls into fractions.
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that the classifier accepts, with the columns they came with."""
+    model = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def score_of(texts: pd.Series) -> pd.Series:
+        parts = _scores(model, [])(iter([pd.DataFrame({"_text": texts})]))
+        return pd.concat([p["score"] for p in parts], ignore_index=True)
+
+    return docs.filter(score_of(text_of().cast("binary")) >= threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,8 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import exact_dedup, fingerprint, line_crf, mixing, near_dedup, packing, suffix_dedup, superkmer_dedup
-from stratafold.llm.common import documents
+from stratafold.llm import (
+    exact_dedup,
+    fingerprint,
+    html_text,
+    line_crf,
+    mixing,
+    near_dedup,
+    packing,
+    pii,
+    suffix_dedup,
+    superkmer_dedup,
+)
+from stratafold.llm.common import documents, pages
 
 #: The vocabulary file of the packing query.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -19,6 +30,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_report(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -51,6 +66,10 @@ def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer_dedup.repeat_report(documents(spark, sf_dir))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
@@ -62,11 +81,13 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_pii": op2_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_superkmer_dedup": op7_superkmer_dedup,
+    "op8_html_text": op8_html_text,
     "op9_fingerprint": op9_fingerprint,
     "op10_line_crf": op10_line_crf,
 }
