@@ -48,7 +48,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--customers-landing", help="folder of JSON lines with customer records")
     p.add_argument("--customers-jdbc", help="JDBC url of the customer database")
     p.add_argument("--customers-table", default="crm.customers")
-    p.add_argument("--history", choices=("two_step", "one_pass"), default="two_step")
+    p.add_argument("--customers-split", help="numeric or time column to read the table in parallel by")
+    p.add_argument("--customers-range", nargs=2, metavar=("LOWER", "UPPER"), help="its bounds")
+    p.add_argument("--customers-parts", type=int, default=8, help="how many ranges are read at a time")
+    p.add_argument("--history", choices=("one_pass", "two_step"), default="one_pass")
     return p
 
 
@@ -58,7 +61,16 @@ def feeds(spark: SparkSession, args: argparse.Namespace) -> Feeds:
 
     def customers(since):
         if args.customers_jdbc:
-            table = jdbc_table(spark, url=args.customers_jdbc, table=args.customers_table)
+            split = {}
+            if args.customers_split:
+                lower, upper = args.customers_range or (None, None)
+                split = {
+                    "partition_column": args.customers_split,
+                    "lower": lower,
+                    "upper": upper,
+                    "partitions": args.customers_parts,
+                }
+            table = jdbc_table(spark, url=args.customers_jdbc, table=args.customers_table, **split)
             return customer_extract(table, since)
         return feed_of(read_landing(spark, args.customers_landing, RAW_CUSTOMERS))(since)
 
@@ -82,6 +94,8 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> None:
         return
     if len(args.batch) != 1:
         raise SystemExit(f"{step} needs exactly one --batch")
+    if step in ("ingest", "run") and not (args.events_landing and (args.customers_landing or args.customers_jdbc)):
+        raise SystemExit(f"{step} needs --events-landing and --customers-landing or --customers-jdbc")
     (batch,) = args.batch
     actions = {
         "ingest": lambda: ingest(layers, feeds(spark, args), batch),

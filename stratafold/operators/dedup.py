@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratafold.operators.sizing import SMALL_BYTES, null_spread, plan_bytes
+from stratafold.operators.sizing import null_spread
 
 
 def keep_latest(
@@ -16,14 +16,12 @@ def keep_latest(
     newest: str,
     ties: Sequence[Column | str] = (),
     null_keys: str = "collapse",
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """One row per key: the greatest ``newest`` (NULL ranks last), then ``ties``.
 
     ``row_number = 1`` lets Spark cut every key to one row per input partition ahead
-    of the shuffle, so a hot key costs no more than a cold one.  That takes a second
-    sort, which an input small enough for one task can do without: there the first
-    row is found by the absence of a row before it, and the shuffle comes first.
+    of the shuffle, so a hot key, or all rows without a key, cost no more than a cold
+    one, whatever the size of the input.
 
     ``null_keys``: "collapse" keeps one row for the NULL key, "keep" keeps them all,
     "drop" removes them.
@@ -35,15 +33,12 @@ def keep_latest(
         df = df.dropna(subset=keys)
     by = [F.col(k) for k in keys]
     if null_keys == "keep":
-        df = df.withColumn("_spread", null_spread(keys, df.columns))
+        df = df.withColumn("_spread", null_spread(keys, df))
         by.append(F.col("_spread"))
     order = [F.col(newest).desc_nulls_last(), *(F.col(t) if isinstance(t, str) else t for t in ties)]
     window = Window.partitionBy(*by).orderBy(*order)
-    if plan_bytes(df) <= small_bytes:
-        first = df.withColumn("_before", F.lag(F.lit(1)).over(window)).filter(F.col("_before").isNull())
-    else:
-        first = df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1)
-    return first.drop("_before", "_rank", "_spread")
+    first = df.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") == 1)
+    return first.drop("_rank", "_spread")
 
 
 def null_key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

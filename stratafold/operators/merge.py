@@ -43,12 +43,12 @@ def newest_wins(
 
     left = target.select(
         *[F.col(k).alias(f"_t_{k}") for k in keys],
-        null_spread(keys, columns).alias("_t_spread"),
+        null_spread(keys, target).alias("_t_spread"),
         F.struct(*columns).alias("_t"),
     )
     right = source.select(
         *[F.col(k).alias(f"_s_{k}") for k in keys],
-        null_spread(keys, columns).alias("_s_spread"),
+        null_spread(keys, source).alias("_s_spread"),
         F.struct(*columns).alias("_s"),
     )
     on = F.col("_t_spread") == F.col("_s_spread")
@@ -72,7 +72,7 @@ def absent_rows(
         # is no larger than the batch.
         known = known.join(F.broadcast(source.select(*keys)), keys, "left_semi").distinct()
     known = known.withColumn("_spread", F.lit(0).cast("long"))
-    spread = source.withColumn("_spread", null_spread(keys, source.columns))
+    spread = source.withColumn("_spread", null_spread(keys, source))
     return spread.join(known, [*keys, "_spread"], "left_anti").select(*source.columns)
 
 

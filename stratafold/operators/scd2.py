@@ -62,7 +62,7 @@ def close_superseded(
     )
     if fits_broadcast(batch):
         newest = F.broadcast(newest)
-    spread_history = history.withColumn("_spread", null_spread([key], history.columns))
+    spread_history = history.withColumn("_spread", null_spread([key], history))
     joined = spread_history.join(
         newest, (F.col(key) == F.col("_key")) & (F.col("_spread") == F.col("_key_spread")), "left"
     )
@@ -135,7 +135,9 @@ def apply_one_pass(
     in the history wins over a batch row with the same (key, version).  Rows without
     a key or a version are left out of the rebuild and kept as they came.
 
-    Keys that are not in a batch of checked size pass through without a shuffle.
+    Only the keys of the batch are rebuilt, whatever its size: a batch of checked size
+    is broadcast, so that all other rows pass without a shuffle, and a larger one
+    meets the history by key.
     """
     columns = history.columns
     stamped = stamp_versions(batch, version).select(*columns)
@@ -143,13 +145,12 @@ def apply_one_pass(
     known, fresh = history.filter(whole), stamped.filter(whole)
     unkeyed = insert_if_absent(history.filter(~whole), stamped.filter(~whole), [key, "valid_from"])
 
-    untouched = None
-    touched_keys = fresh.select(key)
+    touched_keys = fresh.select(key).distinct()
     if fits_broadcast(touched_keys, broadcast_bytes):
-        untouched = known.join(F.broadcast(touched_keys), key, "left_anti").select(*columns)
-        known = known.join(F.broadcast(touched_keys), key, "left_semi").select(*columns)
+        touched_keys = F.broadcast(touched_keys)
+    untouched = known.join(touched_keys, key, "left_anti").select(*columns)
+    known = known.join(touched_keys, key, "left_semi").select(*columns)
     rows = known.withColumn("_old", F.lit(1)).unionByName(fresh.withColumn("_old", F.lit(0)))
     rows = keep_latest(rows, [key, version], "_old", ties).drop("_old")
     rebuilt = rebuild(rows, key, version, track).select(*columns)
-    result = rebuilt.unionByName(unkeyed)
-    return result if untouched is None else result.unionByName(untouched)
+    return rebuilt.unionByName(unkeyed).unionByName(untouched)

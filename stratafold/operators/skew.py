@@ -19,6 +19,7 @@ from stratafold.operators.sizing import (
     HOT_ROWS,
     SMALL_BYTES,
     broadcast_if_small,
+    fits_broadcast,
     plan_bytes,
     spread,
 )
@@ -162,7 +163,7 @@ def salted_join(
     extras = [c for c in right.columns if c not in keys]
     names = {k: f"_r_{k}" for k in keys}
 
-    if plan_bytes(right) <= broadcast_bytes:
+    if fits_broadcast(right, broadcast_bytes):
         right = F.broadcast(right.withColumnsRenamed(names))
         return left.join(right, _condition(names, residual), how).select(*left.columns, *extras)
 
@@ -172,6 +173,7 @@ def salted_join(
         found = staged(found.select(*keys, (F.floor(F.col("_rows") / hot_rows) + 1).alias("_salts")), "hot")
         hot = None if found.isEmpty() else found
     columns = left.columns
+    scattered = spread(left)
     salt = F.lit(0).cast("long")
     if hot is None:
         right = right.withColumn("_salt", salt)
@@ -179,14 +181,14 @@ def salted_join(
         left = left.join(broadcast_if_small(hot, _STAGED_BYTES), keys, "left")
         right = right.join(broadcast_if_small(hot, _STAGED_BYTES), keys, "left")
         salts = F.coalesce("_salts", F.lit(1).cast("long"))
-        salt = F.pmod(spread(columns), salts)
+        salt = F.pmod(scattered, salts)
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
         right = right.drop("_salts")
     if how == "left":
         any_null = F.lit(False)
         for key in keys:
             any_null = any_null | F.col(key).isNull()
-        salt = F.when(any_null, spread(columns)).otherwise(salt)
+        salt = F.when(any_null, scattered).otherwise(salt)
     left = left.withColumn("_salt", salt).drop("_salts")
     names["_salt"] = "_r__salt"
     joined = left.join(right.withColumnsRenamed(names), _condition(names, residual), how)

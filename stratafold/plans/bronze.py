@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.functions import lineage
 from stratafold.schemas import RAW_CUSTOMERS, RAW_EVENTS
-from stratafold.sources import landing
+from stratafold.sources import files, landing
 from stratafold.sources.layers import Layers
 
+logger = logging.getLogger(__name__)
+
 RAW_SCHEMAS: dict[str, T.StructType] = {"events": RAW_EVENTS, "customers": RAW_CUSTOMERS}
 
 
@@ -33,8 +37,21 @@ def bronze_batch(
     return with_lineage(raw, batch_id, folder, run_at)
 
 
-def load_bronze(layers: Layers, source: str, batch_id: str) -> None:
-    """Replace the batch in ``bronze.<source>`` with what the raw zone holds for it."""
+def load_bronze(layers: Layers, source: str, batch_id: str) -> int:
+    """Replace the batch in ``bronze.<source>`` with what the raw zone holds for it.
+
+    Raw files may expire: without a raw folder a stored batch stays as it is.  The
+    number of rows written is counted by the write itself.
+    """
     table = f"bronze.{source}"
     layers.create(table)
-    layers.replace_batch(table, bronze_batch(layers, source, batch_id), batch_id)
+    folder = landing.batch_folder(layers.root, source, batch_id)
+    if not files.exists(layers.spark, folder) and not layers.batch(table, batch_id).isEmpty():
+        logger.warning("%s: no raw files for %s, the stored batch stays", table, batch_id)
+        return 0
+    seen = Observation()
+    rows = bronze_batch(layers, source, batch_id).observe(seen, F.count("*").alias("rows"))
+    layers.replace_batch(table, rows, batch_id)
+    count = seen.get["rows"]
+    logger.info("%s: %d rows for %s", table, count, batch_id)
+    return count

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stratafold.functions import iso_date, iso_timestamp, truth
-from stratafold.operators.dedup import keep_latest
+from stratafold.operators.dedup import keep_latest, null_key_rows
 from stratafold.operators.merge import newest_wins
 from stratafold.operators.scd2 import apply_one_pass, apply_two_step
 from stratafold.operators.sizing import BROADCAST_BYTES, fits_broadcast
 from stratafold.schemas import BRONZE_EVENTS, EVENT_DATE, SILVER_EVENTS
 from stratafold.session import staged
+from stratafold.sources import files
 from stratafold.sources.layers import Layers
 
+logger = logging.getLogger(__name__)
+
 # Day of rows whose event time is missing or malformed.
 NO_DAY = "1970-01-01"
 
@@ -21,12 +26,13 @@ NO_DAY = "1970-01-01"
 def typed_events(bronze: DataFrame, null_keys: str = "collapse") -> DataFrame:
     """Latest row per event id, typed and cut to the fixed Silver columns.
 
-    Versions are compared as the text Bronze holds; equal ones are settled by the
-    remaining payload, so a rerun picks the same row.
+    Versions are compared as instants, so text that names none never wins; equal ones
+    are settled by their text and the remaining payload, so a rerun picks the same row.
     """
-    ties = [c for c in BRONZE_EVENTS.fieldNames() if c not in ("event_id", "updated_at")]
-    latest = keep_latest(bronze, ["event_id"], "updated_at", [F.col(c).desc() for c in ties], null_keys)
-    return latest.withColumns(
+    ties = ["updated_at", *[c for c in BRONZE_EVENTS.fieldNames() if c not in ("event_id", "updated_at")]]
+    timed = bronze.withColumn("_instant", iso_timestamp("updated_at"))
+    latest = keep_latest(timed, ["event_id"], "_instant", [F.col(c).desc() for c in ties], null_keys)
+    return latest.drop("_instant").withColumns(
         {
             "occurred_at": iso_timestamp("occurred_at"),
             "updated_at": iso_timestamp("updated_at"),
@@ -59,6 +65,8 @@ def upsert_events(layers: Layers, batch: DataFrame, broadcast_bytes: int = BROAD
     """
     table = "silver.events"
     layers.create(table)
+    # A run that stopped between two days is completed before anything is read.
+    layers.recover(table)
     batch = staged(with_day(batch), "events-batch")
     target = layers.read(table, physical=True)
     keys = batch.select("event_id").filter(F.col("event_id").isNotNull())
@@ -75,15 +83,43 @@ def upsert_events(layers: Layers, batch: DataFrame, broadcast_bytes: int = BROAD
     layers.swap_partitions(table, merged, touched)
 
 
-def load_silver_events(layers: Layers, batch_id: str, null_keys: str = "collapse") -> None:
-    upsert_events(layers, typed_events(layers.batch("bronze.events", batch_id), null_keys))
+def load_silver_events(layers: Layers, batch_id: str, null_keys: str = "quarantine") -> None:
+    """Upsert the events of a batch.
+
+    Rows without an event id cannot be matched on a rerun.  "quarantine" keeps them
+    apart, in files replaced with their batch; "collapse" and "drop" are those of
+    ``keep_latest``.
+    """
+    bronze = layers.batch("bronze.events", batch_id)
+    if null_keys == "quarantine":
+        quarantine(layers, "events", null_key_rows(bronze, ["event_id"]), batch_id)
+        null_keys = "drop"
+    upsert_events(layers, typed_events(bronze, null_keys))
+
+
+def quarantine(layers: Layers, source: str, rows: DataFrame, part: str) -> int:
+    """Replace what a batch, or a part of a stream, has set aside; no folder without rows."""
+    folder = quarantine_folder(layers, source, part)
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(folder)
+    count = seen.get["rows"]
+    if count:
+        logger.warning("%d %s rows without a key in %s", count, source, folder)
+    else:
+        files.delete(layers.spark, folder)
+    return count
+
+
+def quarantine_folder(layers: Layers, source: str, part: str) -> str:
+    return f"{layers.root}/quarantine/{source}/part={part}"
 
 
-def load_silver_customers(layers: Layers, batch_id: str, mode: str = "two_step") -> None:
+def load_silver_customers(layers: Layers, batch_id: str, mode: str = "one_pass") -> None:
     """Apply a batch to the customer history.
 
-    "two_step" closes and inserts in two separate merges; "one_pass" rebuilds the
-    intervals of the batch's keys and so also repairs late and repeated versions.
+    "one_pass" rebuilds the intervals of the batch's keys and so takes late and
+    repeated versions as they come; "two_step" closes and inserts in two separate
+    merges and refuses several newer versions of a key.
     """
     table = "silver.customers"
     layers.create(table)

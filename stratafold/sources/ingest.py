@@ -43,6 +43,7 @@ def ingest_source(layers: Layers, source: str, extract: Extract, batch_id: str)
     if saved is None:
         logger.info("%s: nothing newer than %s", source, since)
         return False
+    logger.info("%s: %d rows stored, %d set aside", source, saved.rows, saved.rejected)
     if saved.mark is not None:
         write_watermark(layers, source, saved.mark)
     return True

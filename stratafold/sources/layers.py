@@ -7,6 +7,7 @@ then points the table, or the partitions concerned, to it.  One writer per table
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterable, Sequence
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from stratafold.functions import canonical_order
 from stratafold.schemas import EVENT_DATE, LAYERS, TABLES
+from stratafold.sources import files
 
 
 class Layers:
@@ -132,16 +134,55 @@ class Layers:
         written = self.spark.read.schema(schema).format(kind).load(folder)
         # Partition values only: bounded by the number of days in the table.
         filled = {row[0] for row in written.select(column).distinct().collect()}
-        gone = [value for value in touched if value not in filled]
-        self._point_partitions(
-            table, [({column: v}, f"{folder}/{column}={v}") for v in touched if v in filled]
-        )
-        for value in gone:
+        change = {
+            "column": column,
+            "filled": {str(v): f"{folder}/{column}={v}" for v in touched if v in filled},
+            "gone": [str(value) for value in touched if value not in filled],
+        }
+        # All files are there: from here on the change is either noted or not begun.
+        files.write_text(self.spark, self._change_note(table), json.dumps(change))
+        self._apply(table, change)
+
+    def _change_note(self, table: str) -> str:
+        return f"{self.root}/{table.replace('.', '/')}/change.json"
+
+    def _apply(self, table: str, change: dict) -> None:
+        """Point the partitions of a noted change to their folders; repeatable."""
+        column = change["column"]
+        self._point_partitions(table, [({column: v}, place) for v, place in change["filled"].items()])
+        for value in change["gone"]:
             self.spark.sql(
                 f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({_spec({column: value})})"
             )
+        files.delete(self.spark, self._change_note(table))
         self.spark.catalog.refreshTable(self.name(table))
 
+    def recover(self, table: str) -> bool:
+        """Complete a change of several partitions that was interrupted."""
+        note = files.read_text(self.spark, self._change_note(table))
+        if note is None:
+            return False
+        self._apply(table, json.loads(note))
+        return True
+
+    def vacuum(self, table: str, keep_days: float = 7.0) -> list[str]:
+        """Delete snapshot folders that the table no longer points to and that no reader
+        that started within ``keep_days`` can hold; returns their names."""
+        folder = f"{self.root}/{table.replace('.', '/')}"
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {self.name(table)}").filter("col_name = 'Location'").collect()
+        used = " ".join(r["data_type"] for r in rows)
+        if TABLES[table][1]:
+            parts = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
+            specs = [dict(p.split("=", 1) for p in r[0].split("/")) for r in parts]
+            for spec in specs:
+                about = self.spark.sql(f"DESCRIBE EXTENDED {self.name(table)} PARTITION ({_spec(spec)})")
+                used += " " + " ".join(r["data_type"] for r in about.filter("col_name = 'Location'").collect())
+        ages = files.age_days(self.spark, folder)
+        gone = [n for n, age in ages.items() if n.startswith("snapshot-") and n not in used and age >= keep_days]
+        for name in gone:
+            files.delete(self.spark, f"{folder}/{name}")
+        return sorted(gone)
+
     def append(self, table: str, df: DataFrame) -> None:
         df.select(*TABLES[table][0].fieldNames()).write.insertInto(self.name(table))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.domains import FIRST_RUN
-from stratafold.functions import utc_text
+from stratafold.functions import iso_timestamp, utc_text
 
 CUSTOMER_COLUMNS = (
     "customer_id",
@@ -52,15 +52,21 @@ def jdbc_table(spark: SparkSession, **options) -> DataFrame:
 def changed_since(df: DataFrame, since: str | None, updated_at: str = "updated_at") -> DataFrame:
     """Rows strictly newer than ``since``; the start of time when there is none.
 
-    Text timestamps are compared as text and a missing one is older than all.
-    Typed timestamps are compared as such, and the filter reaches the source.
+    Text is compared as the instant it names, so a fraction of a second more or less
+    in its form changes nothing.  Text that names none is let through, for the raw
+    zone to set aside; a missing timestamp is older than all.  Typed timestamps are
+    compared as such, and the filter reaches the source.
     """
-    return df.filter(F.col(updated_at) > _mark(df, since or FIRST_RUN, updated_at))
+    kind, mark = df.schema[updated_at].dataType, since or FIRST_RUN
+    if kind.typeName() != "string":
+        return df.filter(F.col(updated_at) > F.lit(mark).cast(kind))
+    newer = iso_timestamp(updated_at) > iso_timestamp(F.lit(mark))
+    return df.filter(newer | unreadable(updated_at))
 
 
-def _mark(df: DataFrame, since: str, updated_at: str) -> Column:
-    kind = df.schema[updated_at].dataType
-    return F.lit(since) if kind.typeName() == "string" else F.lit(since).cast(kind)
+def unreadable(updated_at: str = "updated_at") -> Column:
+    """Text that is there but names no instant."""
+    return F.col(updated_at).isNotNull() & iso_timestamp(updated_at).isNull()
 
 
 def customer_extract(table: DataFrame, since: str | None) -> DataFrame:
@@ -72,5 +78,13 @@ def customer_extract(table: DataFrame, since: str | None) -> DataFrame:
 
 
 def high_water_mark(df: DataFrame, updated_at: str = "updated_at") -> DataFrame:
-    """Greatest ``updated_at``; rows without one are ignored."""
-    return df.agg(F.max(updated_at).alias("last_updated_at"))
+    """Greatest ``updated_at``; rows without a readable one are ignored."""
+    return df.agg(mark_of(df, updated_at).alias("last_updated_at"))
+
+
+def mark_of(df: DataFrame, updated_at: str = "updated_at") -> Column:
+    """The text, or value, of the latest instant; the greatest text of equal ones."""
+    if df.schema[updated_at].dataType.typeName() != "string":
+        return F.max(updated_at)
+    at = iso_timestamp(updated_at)
+    return F.max(F.when(at.isNotNull(), F.struct(at.alias("at"), F.col(updated_at).alias("text")))).getField("text")

@@ -7,7 +7,7 @@ delivered twice after a failure; the newest-wins upsert makes that harmless.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from stratafold.functions import lineage
-from stratafold.operators.dedup import keep_latest
-from stratafold.plans.silver import typed_events, upsert_events
+from stratafold.operators.dedup import null_key_rows
+from stratafold.plans.silver import quarantine, typed_events, upsert_events
 from stratafold.schemas import RAW_EVENTS
 from stratafold.sources.layers import TEXT_TIMESTAMPS, Layers
 
@@ -44,12 +44,6 @@ def run_available(
     return query
 
 
-def newest_batch(
-    rows: DataFrame, keys: Sequence[str], version: str, ties: Sequence[str] = ()
-) -> DataFrame:
-    return keep_latest(rows, keys, version, [F.col(t).desc() for t in ties], null_keys="drop")
-
-
 def stream_events(layers: Layers, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
     """Upsert new raw event files into ``silver.events``."""
 
@@ -58,7 +52,9 @@ def stream_events(layers: Layers, checkpoint: str, max_files: int | None = None)
         day = F.regexp_extract("_source_file", "ingestion_date=([^/]+)", 1)
         columns = lineage("", "")
         columns |= {"_batch_id": day, "_source_file": F.col("_source_file")}
-        upsert_events(layers, typed_events(rows.withColumns(columns), null_keys="drop"))
+        rows = rows.withColumns(columns)
+        quarantine(layers, "events", null_key_rows(rows, ["event_id"]), f"stream-{epoch}")
+        upsert_events(layers, typed_events(rows, null_keys="drop"))
 
     folder = f"{layers.root}/raw/events"
     stream = raw_stream(layers.spark, folder, RAW_EVENTS, max_files)

@@ -14,31 +14,30 @@ def table(spark, *data):
     return df.withColumn("at", F.col("at").cast("timestamp"))
 
 
-@pytest.mark.parametrize("small_bytes", [0, 1 << 40])
 class TestKeepLatest:
-    def test_newest_of_a_key(self, spark, small_bytes):
+    def test_newest_of_a_key(self, spark):
         df = table(spark, ("e1", TEN, "a"), ("e1", LATER, "b"), ("e2", TEN, "c"), ("e2", None, "d"))
-        assert rows(keep_latest(df, ["k"], "at", small_bytes=small_bytes), "k", "v") == [("e1", "b"), ("e2", "c")]
+        assert rows(keep_latest(df, ["k"], "at"), "k", "v") == [("e1", "b"), ("e2", "c")]
 
-    def test_ties_are_settled_by_the_given_columns(self, spark, small_bytes):
+    def test_ties_are_settled_by_the_given_columns(self, spark):
         df = table(spark, ("e1", TEN, "a"), ("e1", TEN, "b"))
-        up = keep_latest(df, ["k"], "at", [F.col("v").asc()], small_bytes=small_bytes)
-        down = keep_latest(df, ["k"], "at", [F.col("v").desc()], small_bytes=small_bytes)
+        up = keep_latest(df, ["k"], "at", [F.col("v").asc()])
+        down = keep_latest(df, ["k"], "at", [F.col("v").desc()])
         assert rows(up, "v") == [("a",)]
         assert rows(down, "v") == [("b",)]
 
     @pytest.mark.parametrize("mode, kept", [("collapse", 2), ("keep", 3), ("drop", 1)])
-    def test_null_keys(self, spark, mode, kept, small_bytes):
+    def test_null_keys(self, spark, mode, kept):
         df = table(spark, (None, TEN, "a"), (None, TEN, "b"), ("e1", TEN, "c"))
-        result = keep_latest(df, ["k"], "at", ["v"], null_keys=mode, small_bytes=small_bytes)
+        result = keep_latest(df, ["k"], "at", ["v"], null_keys=mode)
         assert result.count() == kept
         assert result.columns == df.columns
         assert null_key_rows(df, ["k"]).count() == 2
 
 
-def test_large_inputs_cut_keys_before_the_shuffle(spark):
+def test_keys_are_cut_before_the_shuffle(spark):
     df = table(spark, ("e1", TEN, "a"))
-    plan = keep_latest(df, ["k"], "at", small_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    plan = keep_latest(df, ["k"], "at")._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and plan.index("Exchange") < plan.index("Partial")
 
 
