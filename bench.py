@@ -31,6 +31,10 @@ HEADLINE = (
     "quality_report",
     "raw_roundtrip",
     "batch_replace",
+    "scd2_two_step",
+    "silver_upsert_by_day",
+    "stream_to_silver",
+    "gated_run",
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafold.operators.skew import add_range, range_borders, salted_join
 from stratafold.operators.sizing import BROADCAST_BYTES, HOT_ROWS, SMALL_BYTES
+from stratafold.session import staged
 
 # Above this many versions of one key, comparing each fact with all of them costs
 # more than cutting the key into ranges of time.
@@ -49,6 +50,8 @@ def pit_join(
     until = F.col(at) <= F.col(valid_to) if bounds == "closed" else F.col(at) < F.col(valid_to)
     inside = (F.col(at) >= F.col(valid_from)) & until
 
+    # Sizes, borders and the join all read the versions: derived once, then read as files.
+    versions = staged(versions, "versions")
     borders = range_borders(versions, key, valid_from, many_versions, VERSIONS_PER_RANGE)
     if borders is not None:
         facts = add_range(facts, borders, key, {"_range": at}, **limits).drop("_hot")

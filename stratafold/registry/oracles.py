@@ -284,6 +284,7 @@ ORACLES = {
       changes AS (SELECT * FROM before WHERE nth = 1 OR old IS DISTINCT FROM plan),
       {history('history', 'changes')} {HISTORY_ROWS} history""",
     "scd2_two_batches": f"WITH {HISTORY} {HISTORY_ROWS} history",
+    "scd2_one_pass_repair": f"WITH {HISTORY} {HISTORY_ROWS} history",
     "scd2_two_step": f"""WITH {VERSIONS},{EARLY}
       {HISTORY_ROWS} closed UNION ALL {HISTORY_ROWS}
       (SELECT *, updated_at AS valid_from, {END} AS valid_to, TRUE AS is_current FROM last_late)""",
@@ -343,6 +344,11 @@ ORACLES = {
     "incremental_extract": """
       SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS updated_at
       FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01'""",
+    "extract_mixed_precision": """
+      SELECT o_orderkey, updated_at FROM (
+        SELECT *, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '.500000Z' END AS updated_at
+        FROM orders)
+      WHERE o_orderdate > TIMESTAMP '2001-01-01' OR (o_orderdate = TIMESTAMP '2001-01-01' AND o_orderkey % 2 = 1)""",
     "high_water_mark": HIGH_WATER,
     "watermark_upsert": HIGH_WATER,
     "ingest_step": f"""WITH {FEED}

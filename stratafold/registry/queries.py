@@ -80,6 +80,13 @@ def scd2_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history_rows(apply_one_pass(rebuild(early, "customer_id"), late, "customer_id"))
 
 
+def scd2_one_pass_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows that two-step merges left open are put in their place by one pass."""
+    early, late = _split(spark, sf_dir)
+    dirty = apply_two_step(stamp_versions(late), early, "customer_id")
+    return _history_rows(apply_one_pass(dirty, early.unionByName(late), "customer_id"))
+
+
 def scd2_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close and insert as two merges: the early history and each customer's last version."""
     early, late = _split(spark, sf_dir)
@@ -309,6 +316,14 @@ def incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.select("o_orderkey", "o_custkey", utc_text("o_orderdate", "second").alias("updated_at"))
 
 
+def extract_mixed_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text times with and without a fraction, against a mark without one."""
+    fraction = F.when(F.col("o_orderkey") % 2 == 0, "Z").otherwise(".500000Z")
+    at = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), fraction)
+    orders = fx.table(spark, sf_dir, "orders").withColumn("updated_at", at)
+    return changed_since(orders, "2001-01-01T00:00:00Z").select("o_orderkey", "updated_at")
+
+
 def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = [
         high_water_mark(fx.table(spark, sf_dir, name), column).select(
@@ -521,6 +536,7 @@ QUERIES = {
         scd2_history,
         scd2_tracked,
         scd2_two_batches,
+        scd2_one_pass_repair,
         scd2_two_step,
         scd2_stamped,
         close_versions,
@@ -548,6 +564,7 @@ QUERIES = {
         latest_audit_rows,
         failed_checks,
         incremental_extract,
+        extract_mixed_precision,
         watermark_upsert,
         ingest_step,
         raw_roundtrip,
