@@ -31,7 +31,7 @@ from stratafold.llm.common import checked, text_of
 
 TRAIN_DOCS = 1000
 TRAIN_CHARS = 20_000
-BATCH = 1_500_000
+BATCH = 600_000
 THRESHOLD = 0.7
 
 _CLASSES = ("upper", "lower", "digit", "blank", "mark", "bar", "bang", "stop", "high")
