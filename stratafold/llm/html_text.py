@@ -444,14 +444,11 @@ _FALLBACK = [
 
 def train(pages: DataFrame, count: int = TRAIN_PAGES) -> Labeller:
     """A labeller from a bounded sample of pages."""
-    sample = (
-        checked(pages, "page_id", "html")
-        .filter(F.char_length(text_of("html")).between(1, TRAIN_CHARS))
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(count)
-        .select("html")
-        .toPandas()["html"]
-    )
+    rows = checked(pages, "page_id", "html").filter(F.char_length(text_of("html")).between(1, TRAIN_CHARS))
+    # Ids first: each task offers the driver ``count`` numbers, not as many pages.
+    chosen = rows.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(count)
+    ids = [r["page_id"] for r in chosen.collect()]
+    sample = rows.filter(F.col("page_id").isin(ids)).limit(2 * count).select("html").toPandas()["html"]
     x, y = training_set(sorted(sample))
     if not x:
         x, y = training_set(_FALLBACK)
