@@ -7,11 +7,21 @@ binomially many of 64 values, fewer than ``SHARED`` of them about once in 10^9,
 enough to list a class under its K - SHARED + 1 rarest values (a prefix in an order by
 frequency): what a passage or line makes common is hardly ever listed.
 
-Lists are not turned into all their pairs.  First every member meets its list's
-smallest class, which settles groups of near copies; then only members that are still in
-different components meet.  Each pair is estimated from the sketch of the union of both
-sketches, and survivors are confirmed on the full sets of both texts.  Components come
-from joins; nothing but counts reaches the driver.
+Lists are not turned into all their pairs.  Every member meets its list's hub, the
+class whose values are the most common, and the full sets of both are compared.  For
+two members x, y of a hub h, with s shared shingles of x and h, all links not yet known
+are among these pairs:
+
+* both hold a shingle that h lacks.  For if x and y only share what h has too, they
+  share at most s, and J(x, y) <= s / (|x| + |y| - s), which is below J(x, h) unless y
+  is smaller than h;
+* x is not linked with h but y is so small that this bound reaches the threshold.
+
+So members meet under (hub, shingle beyond the hub), where near copies of one text have
+little left but their own edits, and a few meet by size.  Pairs within one component or
+both linked with the hub are left out.  Each pair is estimated from the sketch of the
+union of both sketches, and survivors are confirmed on the full sets of both texts.
+Components come from joins; nothing but counts reaches the driver.
 
 Results by case: null text is empty; a text without words has an empty set, links with
 nothing and is kept; with one to four words the whole sequence is the one shingle; rows
@@ -66,7 +76,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """value, cls, n: each class under its rarest values that another class keeps too."""
+    """value, cls, n, common: each class under its rarest values that another class keeps too.
+
+    ``common`` is how often its values are kept, on average.
+    """
     kept = classes.select("cls", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     often = kept.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
     common = kept.join(often, "value")
@@ -76,9 +89,9 @@ def _lists(classes: DataFrame) -> DataFrame:
     alone = F.col("k") - F.count("*").over(mine)
     needed = F.greatest(F.lit(1), F.floor(F.col("k") * SHARED / K))
     return (
-        common.withColumns({"_nth": rarest, "_alone": alone})
+        common.withColumns({"_nth": rarest, "_alone": alone, "common": F.sum("times").over(mine) / F.col("k")})
         .filter(F.col("_alone") + F.col("_nth") <= F.col("k") - needed + 1)
-        .select("value", "cls", "n")
+        .select("value", "cls", "n", "common")
     )
 
 
@@ -98,24 +111,62 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(same >= ESTIMATE * F.size("u")).select("a", "b")
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    last: dict[int, np.ndarray] = {}
+def _sets_of(batches: Iterator[pd.DataFrame], left: str, right: str) -> Iterator[tuple]:
+    """Batches with the full sets of both texts; the right one is made once for a run of rows."""
+    name, found = None, None
     for batch in batches:
-        keep = []
-        for b, ta, tb in zip(batch["b"], batch["ta"], batch["tb"], strict=True):
-            if b not in last:
-                last = {b: shingle_set(bytes(tb))}
-            x, y = shingle_set(bytes(ta)), last[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both) and both > 0)
-        yield batch.loc[keep, ["a", "b"]]
+        both = []
+        for key, x, y in zip(batch[right], batch["tx"], batch["ty"], strict=True):
+            if name is None or key != name:
+                name, found = key, shingle_set(bytes(y))
+            both.append((shingle_set(bytes(x)), found))
+        yield batch[[left, right]], both
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(_confirm, "a long, b long")
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pairs, both in _sets_of(batches, "a", "b"):
+        keep = []
+        for x, y in both:
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * shared >= 75 * (len(x) + len(y) - shared) and shared > 0)
+        yield pairs.loc[keep]
+
+
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pairs, both in _sets_of(batches, "a", "h"):
+        extra = [np.setdiff1d(x, y, assume_unique=True) for x, y in both]
+        n, nh = [len(x) for x, _ in both], [len(y) for _, y in both]
+        shared = [len(x) - len(e) for (x, _), e in zip(both, extra, strict=True)]
+        yield pairs.assign(n=n, nh=nh, shared=shared, extra=[e.view(np.int64) for e in extra])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> DataFrame:
+    x = texts.select(F.col("node").alias(left), F.col("text").alias("tx"))
+    y = texts.select(F.col("node").alias(right), F.col("text").alias("ty"))
+    return pairs.join(x, left).join(y, right).select(left, right, "tx", "ty")
+
+
+def _open_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """a, b: what the hubs have not settled (see above)."""
+    placed = stars.join(found, stars.a == found.node, "left").withColumn("component", F.coalesce("component", "a"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    placed = staged(placed.drop("node").join(mixed.filter("lo <> hi").select("h"), "h"), "placed")
+    beyond = placed.select("h", "a", "n", "linked", "component", F.explode("extra").alias("v"))
+    lists = beyond.groupBy("h", "v").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked")
+    )
+    beyond = beyond.join(lists.filter("lo <> hi and not all_linked").select("h", "v"), ["h", "v"])
+    x, y = beyond.alias("x"), beyond.alias("y")
+    apart = "x.component <> y.component and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)"
+    outside = x.join(
+        y, F.expr(f"x.h = y.h and x.v = y.v and x.a > y.a and not (x.linked and y.linked) and {apart}")
+    )
+    gray, small = placed.filter("not linked and 100 * shared >= 75 * n").alias("x"), placed.alias("y")
+    by_size = gray.join(
+        small, F.expr(f"x.h = y.h and x.a <> y.a and 75 * y.n <= 175 * x.shared - 75 * x.n and {apart}")
+    )
+    pair = [F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")]
+    return outside.select(*pair).unionByName(by_size.select(*pair)).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -130,28 +181,18 @@ def near_groups(docs: DataFrame) -> DataFrame:
     edges = staged(alike.filter("node <> cls").select(F.col("node").alias("a"), F.col("cls").alias("b")), "edges")
 
     lists = staged(_lists(classes), "lists")
-    hubs = lists.groupBy("value").agg(F.min("cls").alias("b"))
-    stars = lists.join(hubs, "value").filter("cls <> b").select(F.col("cls").alias("a"), "b").distinct()
-    met = staged(_estimated(stars, classes), "stars")
-    edges = staged(edges.unionByName(_confirmed(met, texts)), "edges")
+    hubs = lists.groupBy("value").agg(F.max(F.struct("common", (-F.col("cls")).alias("minus"))).alias("best"))
+    hubs = hubs.select("value", (-F.col("best.minus")).alias("h"))
+    met = lists.join(hubs, "value").filter("cls <> h").select(F.col("cls").alias("a"), "h").distinct()
+    stars = _with_texts(staged(met, "met"), texts, "a", "h").mapInPandas(
+        _meet, "a long, h long, n long, nh long, shared long, extra array<long>"
+    )
+    stars = staged(stars.withColumn("linked", F.expr("100 * shared >= 75 * (n + nh - shared)")), "stars")
+    edges = staged(edges.unionByName(stars.filter("linked").select("a", F.col("h").alias("b"))), "edges")
 
     found = staged(components(edges), "found")
-    placed = lists.join(found, lists.cls == found.node, "left").select(
-        "value", "cls", "n", F.coalesce("component", "cls").alias("component")
-    )
-    # Lists that still hold two components.
-    open_lists = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = placed.join(open_lists.filter("lo <> hi").select("value"), "value")
-    x, y = left.alias("x"), left.alias("y")
-    pairs = (
-        x.join(y, F.expr("x.value = y.value and x.component <> y.component and x.cls > y.cls"))
-        .filter(_close(F.col("x.n"), F.col("y.n")))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-        .distinct()
-        .join(met, ["a", "b"], "left_anti")
-    )
-    more = staged(_estimated(pairs, classes), "pairs")
-    edges = edges.unionByName(_confirmed(more, texts))
+    more = staged(_estimated(_open_pairs(stars, found), classes), "pairs")
+    edges = edges.unionByName(_with_texts(more, texts, "a", "b").mapInPandas(_confirm, "a long, b long"))
     found = staged(components(edges), "found")
     smallest = F.coalesce("component", "node")
     return (
