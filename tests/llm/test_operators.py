@@ -155,6 +155,34 @@ class TestNear:
             want.append((i, len(shingles(t)), None if top == BIG else top, node == top))
         assert counted(near_dedup.near_groups(docs).collect()) == counted(want)
 
+    def test_graded_copies(self, spark):
+        """Copies of two texts with few or many words changed, added or left out, and a shared passage."""
+        rng = np.random.default_rng(8)
+        bases = [[f"b{k}w{i}" for i in range(90)] for k in range(2)]
+        passage, texts = [f"p{i}" for i in range(30)], []
+        for k in range(140):
+            text = list(bases[k % 2][: int(rng.integers(60, 91))])
+            for _ in range(int(rng.integers(0, 6))):
+                at = int(rng.integers(len(text)))
+                text[at : at + int(rng.integers(0, 2))] = [f"e{int(rng.integers(12))}"] * int(rng.integers(0, 2))
+            texts.append(" ".join(text + passage * (k % 5 == 0)))
+        sets, up = [shingles(t) for t in texts], list(range(len(texts)))
+
+        def root(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    x, y = root(i), root(j)
+                    up[max(x, y)] = min(x, y)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()}
+        assert found == {i: root(i) for i in range(len(texts))}
+        assert 2 < len(set(found.values())) < len(texts)
+
     def test_empty_and_pipeline_form(self, docs, nothing):
         assert near_dedup.near_groups(nothing).count() == 0
         assert near_dedup.keep_one(docs).columns == docs.columns
