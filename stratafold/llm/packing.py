@@ -20,7 +20,10 @@ examples of their own; an empty table gives no piece; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,36 +50,84 @@ class Limits:
     loss: int = 2048
 
 
+def _latin(word: str) -> bool:
+    """Letters whose lower case is one letter, whatever stands around them."""
+    return word.isascii() or max(word) < "\u0130"
+
+
 class Tokens:
-    """Ids of texts, one lookup for each word between blanks.
+    """Ids of texts, for vocabularies of lower-case words one lookup for each word.
 
-    The vocabulary's own word splitting never joins what a blank or line feed parts,
-    so a text's ids are its words' ids in a row.  ``words`` bounds the memory.
+    Such a vocabulary's word splitting never joins what a blank or line feed parts, nor a
+    letter and the comma or full stop after it.  So a text's ids are those of its words
+    in a row, forms of one word share the work, and a word of Latin letters only goes to
+    the merges without normalising and splitting.  Texts of any other vocabulary are
+    encoded whole.  ``words`` bounds the memory.
     """
 
-    def __init__(self, path: str, words: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, words: int = 500_000, longest: int = 40):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.words, self.longest = words, longest
         self.known: dict[str, bytes] = {"": b""}
+        setup = json.loads(self.model.to_str())
+        self.by_word = setup["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in str(setup["normalizer"])
+        if self.by_word:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([])
+            # How the vocabulary writes the bytes of Latin letters beyond ASCII.
+            spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            letters = filter(str.isalpha, map(chr, range(0x80, 0x130)))
+            self.spelling = str.maketrans({c: spell(c)[0][0] for c in letters})
+
+    def _learn(self, words: list[str]) -> None:
+        simple = [w for w in words if w.isalpha() and _latin(w)]
+        rest = [w for w in words if not (w.isalpha() and _latin(w))]
+        spelt = [w if w.isascii() else w.translate(self.spelling) for w in simple]
+        for model, names, forms in ((self.bare, simple, spelt), (self.model, rest, rest)):
+            ids = model.encode_batch_fast(forms, add_special_tokens=False)
+            self.known.update(zip(names, (array("I", e.ids).tobytes() for e in ids), strict=True))
+
+    @staticmethod
+    def _plain(word: str) -> tuple[str, str]:
+        """Lower case up to the Latin letters, and a last comma or stop by itself."""
+        tail = word[-1] if word[-1] in ",." and word[-2:-1].isalpha() else ""
+        word = word[:-1] if tail else word
+        return (word.lower() if _latin(word) else word), tail
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            whole = self.model.encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, "<u4") for e in whole]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.words:
             self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        ids = self.model.encode_batch(new, add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in ids), strict=True))
-        get = self.known.__getitem__
+        known = self.known
+        new = [w for w in set().union(*split) if w not in known]
+        bases, tails = zip(*map(self._plain, new), strict=True) if new else ((), ())
+        self._learn([w for w in {*bases, *tails} if w not in known])
+        for word, base, tail in zip(new, bases, tails, strict=True):
+            known[word] = known[base] + known[tail] if tail else known[base]
+        get = known.__getitem__
         out = [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
-        for word in new:
-            if len(word) > self.longest:
-                del self.known[word]
+        for word in [w for w in {*new, *bases} if len(w) > self.longest]:
+            del known[word]
         return out
 
 
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One for each Python worker, whose later tasks find the words of the earlier ones."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
 class Packer:
     """Open pieces of one task, in arrays: example, start, length, loss."""
 
@@ -199,9 +250,11 @@ def pack(
     )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         packer = Packer(limits, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
         end = np.array([end_id], "<u4")
+        # Words and ids are plain values without cycles: looking for cycles among them is in vain.
+        gc.disable()
 
         def out() -> pd.DataFrame:
             frame = pd.DataFrame(packer.rows, columns=[c.split()[0].strip("`") for c in SCHEMA.split(", ")])
@@ -230,6 +283,7 @@ def pack(
                 yield out()
                 at = stop
         packer.finish()
+        gc.enable()
         yield out()
 
     return rows.mapInPandas(task, SCHEMA)
