@@ -11,6 +11,7 @@ tree over output shards.  Each node gives its left half a multivariate-hypergeom
 share of its quotas and the rest to the right, so the leaves hold exact quotas with the
 random spread of a full shuffle.  A shard then takes the next run of each source's
 permuted blocks: the runs are disjoint, and each is shuffled within its shard by a hash.
+The mix is laid out so: every shard in partitions of its own, in the order of that hash.
 
 Only numbers by source reach the driver, at most ``MAX_SOURCES`` of them (more raise an
 error).  Everything is seeded and depends on values alone: reruns agree.
@@ -91,6 +92,10 @@ def _placed(docs: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _block() -> F.Column:
+    return F.shiftright("_turn", 8 * (LEVELS - 1))
+
+
 def _last_pass(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Adds where the last pass stops: the hash prefix _stop, and the words left and there for it."""
     found = sources.select("_source", F.lit(0).cast("long").alias("_stop"), F.col("rest").alias("_left"))
@@ -193,7 +198,7 @@ def mix(
         .otherwise(F.lit(0))
         .cast("long")
     )
-    block = (F.shiftright("_turn", 8 * (LEVELS - 1)) + 1).cast("int")
+    block = (_block() + 1).cast("int")
     copy = lambda k: F.struct(
         F.when(k < F.col("passes"), F.col("_size")).otherwise(F.col("extra")).alias("words"),
         F.element_at(F.element_at("shards", (k + 1).cast("int")), block).alias("shard"),
@@ -213,13 +218,14 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: one row for each copy, with the columns of ``docs``, in no order.
+def dealt(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
+    """The columns of ``docs``, _shard and _order: one row for each copy, shard by shard.
 
-    The one document at which a source meets its target keeps its first words only.
+    A shard fills one partition or, with more shuffle partitions than shards, several in a
+    row, each a range of _order and sorted by it.
     """
     columns = docs.columns
-    drawn = mix(docs, carry=tuple(columns), **options).withColumn("_copy", F.explode("copies"))
+    drawn = mix(docs, carry=tuple(columns), shards=shards, **options).withColumn("_copy", F.explode("copies"))
     first = F.array_join(
         F.slice(
             F.regexp_extract_all(text_of(), F.lit(r"([^\x20\x09-\x0D]+)"), 1),
@@ -232,4 +238,17 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     drawn = drawn.withColumn("text", text)
     if "n_chars" in columns:
         drawn = drawn.withColumn("n_chars", F.char_length("text").cast("long"))
-    return drawn.select(*columns)
+    drawn = drawn.select(*columns, F.col("_copy.shard").alias("_shard"), F.col("_copy.turn").alias("_order"))
+    slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    # The upper 31 bits, from 0: the lowest range of _order is the first slice.
+    part = (F.shiftright("_order", 33) + F.lit(1 << 30)) * F.lit(slices)
+    place = F.col("_shard") * F.lit(slices) + F.shiftright(part, 31)
+    return drawn.repartitionById(shards * slices, place.cast("int")).sortWithinPartitions("_shard", "_order")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: one row for each copy, with the columns of ``docs``, as ``dealt`` lays it out.
+
+    The one document at which a source meets its target keeps its first words only.
+    """
+    return dealt(docs, **options).select(*docs.columns)

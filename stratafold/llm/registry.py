@@ -59,7 +59,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(documents(spark, sf_dir))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"))
+    return mix.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.size("copies").alias("n_copies"),
+        F.transform("copies", lambda c: c["shard"]).alias("shards"),
+    )
 
 
 def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

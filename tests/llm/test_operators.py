@@ -270,6 +270,38 @@ class TestMixing:
         assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
         assert mixing.mix(nothing).count() == 0
 
+    def test_shards_are_dealt_by_quota(self, spark, monkeypatch):
+        made, split = [], mixing.split_quotas
+        monkeypatch.setattr(mixing, "split_quotas", lambda *a: made.append(split(*a)) or made[-1])
+        some = spark.createDataFrame([(k, "a b c", f"s{k % 2}") for k in range(8000)], "doc_id long, text string, source string")
+        block = {r.doc_id: r._block for r in mixing._placed(some, 17).withColumn("_block", mixing._block()).collect()}
+        shard_of = defaultdict(set)
+        for r in mixing.mix(some, shards=10, carry=("source",)).collect():
+            for k, c in enumerate(r.copies):
+                shard_of[r.source, k, block[r.doc_id]].add(c.shard)
+        assert all(len(x) == 1 for x in shard_of.values())
+        drawn = np.zeros_like(made[0])
+        for (source, _, _), (shard,) in shard_of.items():
+            drawn[shard, int(source[1])] += 1
+        assert (drawn == made[0]).all()
+
+    @pytest.mark.parametrize("partitions", ["4", "12"])
+    def test_mix_lies_in_shards(self, spark, partitions):
+        some = spark.createDataFrame([(k, f"a b {k}", f"s{k % 2}") for k in range(2000)], "doc_id long, text string, source string")
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            rows = mixing.dealt(some, shards=5).withColumn("_part", F.spark_partition_id()).collect()
+            lies = mixing.mixed(some, shards=5).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert [(r._part, r._shard, r._order) for r in rows] == sorted((r._part, r._shard, r._order) for r in rows)
+        assert [(r._shard, r._order) for r in rows] == sorted((r._shard, r._order) for r in rows)
+        assert len({r._part for r in rows}) == (5 if partitions == "4" else 10)
+        assert [r.doc_id for r in lies] == [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
+        want = sorted((r.doc_id, c.shard, c.turn) for r in mixing.mix(some, shards=5).collect() for c in r.copies)
+        assert sorted((r.doc_id, r._shard, r._order) for r in rows) == want
+
 
 class TestPii:
     def test_brute_force(self, docs, nothing):
