@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix draws."""
-    return mixing.mixed(docs)
+    """One row for each copy that the mix draws, shard by shard; documents stay whole."""
+    return mixing.mixed(docs, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

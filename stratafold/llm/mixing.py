@@ -18,9 +18,11 @@ error).  Everything is seeded and depends on values alone: reruns agree.
 
 Results by case: null text has size 0; a null source is a source of its own, the last;
 a source of size 0 has target 0; repeated rows are documents of their own on the same
-place of the ring; at the point where the target is met the documents that share 32 bits of
-hash take equal shares, rounded down, so a source misses its target by less than a word
-for each of them; an empty table gives an empty result; other columns are ignored.
+place of the ring; at the point where the target is met the documents that share 56 bits of
+hash of id and text take equal shares, rounded down, so a source misses its target by less
+than a word for each of them.  With ``whole`` they are taken or left as they are, whichever
+comes nearer, so a source misses by at most half their words and no text is cut.  An empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from stratafold.llm.common import checked, staged, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 100_000
-LEVELS = 4  # digits of 8 bits
+LEVELS = 7  # digits of 8 bits: four of the id's hash, three that part the rows of one id
 BLOCKS = 256
 
 
@@ -86,7 +88,9 @@ def _placed(docs: DataFrame, seed: int) -> DataFrame:
     return docs.withColumns(
         {
             "_source": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")),
-            "_turn": F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 32),
+            "_turn": F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 32), 24).bitwiseOR(
+                F.shiftrightunsigned(F.xxhash64("doc_id", text_of(), F.lit(seed)), 40)
+            ),
             "_size": words_in(text_of()),
         }
     )
@@ -152,11 +156,12 @@ def mix(
     shards: int = 64,
     seed: int = 17,
     carry: tuple[str, ...] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken and ``copies`` for every row.
 
     ``copies`` lists what the mix draws of the document: words, shard, and the key that
-    orders its shard.  ``carry`` names columns to keep.
+    orders its shard.  ``carry`` names columns to keep.  ``whole`` draws whole documents only.
     """
     spark = docs.sparkSession
     docs = _placed(checked(docs, *dict.fromkeys(("doc_id", "text", "source", *carry))), seed)
@@ -190,7 +195,10 @@ def mix(
     ).mapInPandas(_block_shards, "_source string, shards array<array<long>>")
     plan = staged(plan.join(dealt, "_source"), "mix-dealt")
     place = F.col("_turn")
-    partial = F.floor(F.col("_left") * F.col("_size") / F.greatest(F.col("_here"), F.lit(1)))
+    if whole:
+        partial = F.when(2 * F.col("_left") > F.col("_here"), F.col("_size")).otherwise(F.lit(0))
+    else:
+        partial = F.floor(F.col("_left") * F.col("_size") / F.greatest(F.col("_here"), F.lit(1)))
     extra = (
         F.when(F.col("rest") == 0, F.lit(0))
         .when(place < F.col("_stop"), F.col("_size"))
@@ -249,6 +257,7 @@ def dealt(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: one row for each copy, with the columns of ``docs``, as ``dealt`` lays it out.
 
-    The one document at which a source meets its target keeps its first words only.
+    Without ``whole``, the one document at which a source meets its target keeps its first
+    words only.
     """
     return dealt(docs, **options).select(*docs.columns)

@@ -58,7 +58,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix(documents(spark, sf_dir))
+    mix = mixing.mix(documents(spark, sf_dir), whole=True)
     return mix.select(
         "doc_id",
         "size",

@@ -270,6 +270,29 @@ class TestMixing:
         assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
         assert mixing.mix(nothing).count() == 0
 
+    def test_whole_documents(self, spark, docs):
+        rows = mixing.mix(docs, carry=("source",), whole=True).collect()
+        assert all(c.words == r["size"] for r in rows for c in r.copies)
+        by = defaultdict(list)
+        for r in rows:
+            by[r.source].append(r)
+        for part in by.values():
+            assert abs(sum(r.taken for r in part) - part[0].target) <= max(r["size"] for r in part) / 2 + 1
+        texts = counted((r.text,) for r in docs.collect())
+        assert all((r.text,) in texts for r in mixing.mixed(docs, whole=True).collect())
+        # Rows without an id share 32 bits of hash; only their texts part them.
+        same = spark.createDataFrame([(None, f"a b w{k}", f"s{k % 2}") for k in range(400)], "doc_id long, text string, source string")
+        for part in ("s0", "s1"):
+            rows = mixing.mix(same, carry=("source",), whole=True).filter(F.col("source") == part).collect()
+            assert abs(sum(r.taken for r in rows) - rows[0].target) <= 2
+
+    def test_registered_mix_cuts_no_text(self, spark, sf_dir):
+        import corpus_pipeline
+
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        assert registry.op6_mixing(spark, sf_dir).filter("size > 0 and taken % size <> 0").count() == 0
+        assert corpus_pipeline.weighted_mix(spark, docs, sf_dir).join(docs, ["doc_id", "text"], "left_anti").count() == 0
+
     def test_shards_are_dealt_by_quota(self, spark, monkeypatch):
         made, split = [], mixing.split_quotas
         monkeypatch.setattr(mixing, "split_quotas", lambda *a: made.append(split(*a)) or made[-1])
