@@ -10,8 +10,9 @@ grouping, joined back on the digest.
 
 Results by case: null text counts as empty, and all empty texts are one group; a
 null id ranks after every other id; rows that share id and text are all returned,
-with ``kept`` true for one of them only if ids differ, as the decision is by id;
-an empty table gives an empty result; other columns are ignored.
+with ``kept`` true for one of them only if ids differ, as the decision is by id
+(``keep_exact`` keeps one row of each group in any case); an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,6 +81,19 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def keep_exact(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows that stay, with the columns they came with; one row of repeated ids."""
-    winners = exact_dedup(docs, support).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(winners, docs.doc_id.eqNullSafe(winners["_keep"]), "left_semi")
+    """The rows that stay, with the columns they came with: one for each group of equal texts."""
+    winners = (
+        exact_dedup(docs, support)
+        .filter("kept")
+        .groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha256"))
+        .agg((F.count("*") > 1).alias("_repeated"))
+    )
+    bare = F.translate(text_of(), WHITE, "")
+    held = docs.withColumn("_own_sha256", F.sha2(bare.cast("binary"), 256))
+    same = held.doc_id.eqNullSafe(winners["_keep"]) & (held["_own_sha256"] == winners["_sha256"])
+    held = staged(held.join(winners, same), "kept-rows")
+    # Of rows that share id and digest the longest text, then the first by content.
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.struct(-F.char_length(text_of()), text_of(), F.to_json(F.struct(*columns)))
+    one = held.filter("_repeated").groupBy("_keep", "_sha256").agg(F.min_by(F.struct(*columns), rank).alias("_row"))
+    return held.filter("not _repeated").select(*columns).unionByName(one.select("_row.*"))

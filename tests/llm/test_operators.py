@@ -61,6 +61,21 @@ class TestExact:
         assert kept.columns == docs.columns
         assert exact_dedup.exact_dedup(nothing).count() == 0
 
+    def test_one_row_of_each_group_stays(self, spark, docs):
+        more = [(30, "a b", 1), (30, "c", 2), (31, "ab", 3), (31, "c", 4), (32, "d e", 5), (32, "de", 6), (None, "f", 7), (None, "f", 8)]
+        df = spark.createDataFrame(more, "doc_id long, text string, n long")
+        rows = {(r.doc_id, r.text, r.n) for r in exact_dedup.keep_exact(df).collect()}
+        # 31 loses with "ab" and "c"; 32 keeps its longer text.
+        assert rows == {(30, "a b", 1), (30, "c", 2), (32, "d e", 5), (None, "f", 7)}
+        groups = defaultdict(list)
+        for i, t in ROWS:
+            groups[re.sub(r"[ \t-\r]", "", t or "")].append((-len(t or ""), i is None, i or 0, i, t))
+        want = [min(g, key=lambda x: x[:3])[3] for g in groups.values()]
+        assert counted((r.doc_id,) for r in exact_dedup.keep_exact(docs).collect()) == counted((i,) for i in want)
+        # An id that wins with one text does not save its losing text.
+        lost = spark.createDataFrame([(1, "x", 0), (2, "x", 0), (2, "y", 0)], "doc_id long, text string, n long")
+        assert {(r.doc_id, r.text) for r in exact_dedup.keep_exact(lost).collect()} == {(1, "x"), (2, "y")}
+
 
 def removed(text, size, first_of, me):
     mark = np.zeros(len(text) + 1, int)
