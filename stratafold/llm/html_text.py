@@ -71,11 +71,32 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)""", re.S
 )
 _CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s>]++))?""")
+_MAY_HIDE = re.compile(r"hidden|style", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _P_ENDS = set(
-    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
-    "section table ul".split()
+    "address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 "
+    "h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul".split()
+)
+# Elements whose content is plain characters up to their end tag, or the page's end.
+_RAW = set("script style textarea title noscript iframe".split())
+# What does not end a head whose end tag is left out.
+_IN_HEAD = set("base link meta template head html".split()) | _RAW
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# An element ends those open in its container: the names it ends, and what bounds the search.
+_LISTS, _ROWS = {"ul", "ol", "menu"}, {"table"}
+_SIBLINGS = {
+    "li": ({"li"}, _LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, _ROWS | {"tr"}), "th": ({"td", "th"}, _ROWS | {"tr"}), "tr": ({"tr"}, _ROWS),
+    "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"optgroup", "option"}, {"select"}),
+    **{n: ({"thead", "tbody", "tfoot", "caption", "colgroup"}, _ROWS) for n in ("thead", "tbody", "tfoot", "colgroup")},
+}
+# Pictures and formulas end where one of these begins.
+_FOREIGN = {"svg", "math"}
+_BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
 )
 
 
@@ -94,36 +115,65 @@ def _tokens(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _hides(attributes: str) -> bool:
+    """Whether an element's own attributes hide it; the first of a name counts."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return "hidden" in found or bool(_NO_DISPLAY.search(html.unescape(found.get("style", ""))))
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order; white space inside each is one blank."""
+    """Leaf blocks of a page in order; white space inside each is one blank.
+
+    Elements that are never seen lie on the stack like others, so that what ends an element
+    without end tag (the next of its kind, its parent's end, the body) ends them too.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []
     parts: list[str] = []
     linked = 0
     links = 0
+    unseen = 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = tuple(t for name, tokens in stack if name not in INLINE for t in tokens)
+                path = tuple(t for name, tokens, _ in stack if name not in INLINE for t in tokens)
                 out.append(Block(path, text, min(1.0, linked / len(text))))
         parts, linked = [], 0
 
-    def close(name: str) -> None:
-        nonlocal links
+    def cut(k: int) -> None:
+        nonlocal links, unseen
+        links -= sum(1 for n, _, _ in stack[k:] if n == "a")
+        unseen -= sum(1 for _, _, hides in stack[k:] if hides)
+        del stack[k:]
+
+    def last(names: set[str], bounds: set[str]) -> int:
+        """The innermost of the names inside the innermost bound, or -1."""
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                links -= sum(1 for n, _ in stack[k:] if n == "a")
-                del stack[k:]
-                return
+            if stack[k][0] in names:
+                return k
+            if stack[k][0] in bounds:
+                break
+        return -1
+
+    def close(names: set[str], bounds: set[str] = frozenset()) -> None:
+        k = last(names, bounds)
+        if k >= 0:
+            cut(k)
 
     at = 0
     while at < len(page):
         tag = _TAG.search(page, at)
         piece = page[at : tag.start()] if tag else page[at:]
-        if piece:
+        if unseen and stack[-1][0] == "head" and piece.strip():
+            cut(len(stack) - 1)
+        if piece and not unseen:
             parts.append(piece)
             linked += len(piece) if links else 0
         if not tag:
@@ -132,52 +182,48 @@ def blocks(page: str) -> list[Block]:
         name = (tag[2] or "").lower()
         if not name:
             continue
+        if not tag[1] and unseen:
+            if stack[-1][0] == "head" and name not in _IN_HEAD:
+                cut(len(stack) - 1)
+            elif name in _BREAKOUT:
+                k = last(_FOREIGN, {"foreignobject", "desc"})
+                if k >= 0:
+                    cut(k)
         if name in INLINE:
             if name == "br" or name == "wbr":
                 parts.append(" ")
             elif tag[1]:
-                close(name)
+                close({name})
             elif name not in VOID:
-                stack.append((name, ()))
+                stack.append((name, (), False))
                 links += name == "a"
             continue
         flush()
         if tag[1]:
-            close(name)
+            close({name})
+            continue
+        # Only pictures and formulas have elements that end at once.
+        foreign = name in _FOREIGN or (unseen and last(_FOREIGN, {"foreignobject", "desc"}) >= 0)
+        if foreign and tag[3].endswith("/"):
             continue
-        if name in UNSEEN or _HIDDEN.search(tag[3]):
-            if name in VOID or tag[3].endswith("/"):
-                continue
-            if name in ("script", "style", "textarea", "title", "template", "noscript", "iframe"):
-                end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            else:
-                at = _skip(page, at, name)
+        if name in _RAW:
+            end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
-        if name in _P_ENDS and any(n == "p" for n, _ in stack):
-            inner = max(k for k, (n, _) in enumerate(stack) if n == "p")
-            if not any(n in ("td", "th", "button", "table") for n, _ in stack[inner:]):
-                close("p")
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            outer = [n for n, _ in stack if n in ("ul", "ol", "dl", "table", name)]
-            if outer and outer[-1] == name:
-                close(name)
+        if name in _P_ENDS:
+            close({"p"}, {"td", "th", "caption", "button", "table", "object", "template"})
+            if name in _HEADINGS and stack and stack[-1][0] in _HEADINGS:
+                cut(len(stack) - 1)
+        if name in _SIBLINGS:
+            close(*_SIBLINGS[name])
         if name not in VOID:
-            stack.append((name, _tokens(name, tag[3])))
+            hides = name in UNSEEN or _hides(tag[3])
+            stack.append((name, _tokens(name, tag[3]), hides))
+            unseen += hides
     flush()
     return out
 
 
-def _skip(page: str, at: int, name: str) -> int:
-    """The end of an element that holds others of its name."""
-    depth = 1
-    for tag in re.compile(rf"<(/?){re.escape(name)}\b[^>]*+>", re.I).finditer(page, at):
-        depth += -1 if tag[1] else 1
-        if depth == 0:
-            return tag.end()
-    return len(page)
-
-
 _HASHES: dict[str, int] = {}
 
 

@@ -484,6 +484,37 @@ class TestPages:
         assert [b.text for b in html_text.blocks(pages[3])] == ["a", "b c"]
         assert html_text.extract(df.limit(0), labeller).count() == 0
 
+    @pytest.mark.parametrize(
+        "page, want",
+        [
+            ("<html><head><title>x</title><body><article><p>a", ["a"]),
+            ("<html><head><title>x</title><article><p>a</article>", ["a"]),
+            ("<head><meta charset=x><link rel=y>text", ["text"]),
+            ("<head><title>x</title></head><body>a</body>", ["a"]),
+            ("<div><p hidden>a<p>b</div>c", ["b", "c"]),
+            ("<div><p hidden>a</div><p>b", ["b"]),
+            ('<ul><li>a<li style="color:red; display : none">b<li>c</ul>d', ["a", "c", "d"]),
+            ("<ul><li hidden>a<ul><li>b</ul></ul>d", ["d"]),
+            ("<table><tr><td hidden>a<th>b<tr hidden><td>c<tr><td>d</table>", ["b", "d"]),
+            ("<dl><dt hidden>a<dd>b</dl>", ["b"]),
+            ("<div hidden>a<div>b</div>c</div>d", ["d"]),
+            ("<select><option>a<option>b</select>c", ["c"]),
+            ("<p>a<svg><g/><path d=x><text>b</text></svg>c", ["a", "c"]),
+            ("<div><svg><path d=x><p>b</div>", ["b"]),
+            ("<svg><title/><style/></svg><p>b", ["b"]),
+            ("<div hidden/>a</div>b", ["b"]),
+            ('<article data-headline="The hidden cost"><p>a</article>', ["a"]),
+            ('<div class="md:flex hidden lg:block">a</div>', ["a"]),
+            ('<div title="display: none">a</div>', ["a"]),
+            ('<div data-hidden=1 aria-hidden="true">a</div>', ["a"]),
+            ('<div HIDDEN="until-found">a</div><div style=display:none>b</div>c', ["c"]),
+            ('<div style="--x-display:none">a</div>', ["a"]),
+            ("<script>a</script>b<template><p>c</template>d", ["b", "d"]),
+        ],
+    )
+    def test_unseen_elements_end_as_in_browsers(self, page, want):
+        assert [b.text for b in html_text.blocks(page)] == want
+
 
 def test_registry_covers_all():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11))
