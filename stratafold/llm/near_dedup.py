@@ -8,26 +8,28 @@ enough to list a class under its K - SHARED + 1 rarest values (a prefix in an or
 frequency): what a passage or line makes common is hardly ever listed.
 
 Lists are not turned into all their pairs.  Every member meets its list's hub, the
-class whose values are the most common, and the full sets of both are compared.  For
-two members x, y of a hub h, with s shared shingles of x and h, all links not yet known
-are among these pairs:
-
-* both hold a shingle that h lacks.  For if x and y only share what h has too, they
-  share at most s, and J(x, y) <= s / (|x| + |y| - s), which is below J(x, h) unless y
-  is smaller than h;
-* x is not linked with h but y is so small that this bound reaches the threshold.
-
-So members meet under (hub, shingle beyond the hub), where near copies of one text have
-little left but their own edits, and a few meet by size.  Pairs within one component or
-both linked with the hub are left out.  Each pair is estimated from the sketch of the
-union of both sketches, and survivors are confirmed on the full sets of both texts.
-Components come from joins; nothing but counts reaches the driver.
+class whose values are the most common, and the full sets of both are compared.  What
+the hub does not settle is found by prefixes inside the hub's group.  All members put
+their shingles in one order: first those that only members of one component hold, or only
+members linked with the hub, then the others that the hub lacks, the rarer in the group
+first, at last those of the hub.  Two sets of n and m shingles and Jaccard 0.75 share
+3 / 7 (n + m); so their first common shingle in this order is among the first
+n - 0.75 n + 1 of both, and at both places so much must still follow.  Members are listed
+under these shingles only, and only pairs that pass that bound are made.  A member whose
+own shingles fill its prefix meets nobody, however large its family is.  Sets that hold
+the hub nearly whole reach the hub's shingles, where texts much shorter than the hub meet.
+
+Pairs within one component or both linked with the hub are left out.  Each pair is
+estimated from the sketch of the union of both sketches, and survivors are confirmed on
+the full sets of both texts.  Components come from joins; nothing but counts reaches the
+driver.
 
 Results by case: null text is empty; a text without words has an empty set, links with
-nothing and is kept; with one to four words the whole sequence is the one shingle; rows
-that share an id are one node, linked by the links of either; a null id is a node after
-all others and stays null; an empty table gives an empty result; other columns are
-ignored.
+nothing and is kept; with one to four words the whole sequence is the one shingle; in
+``near_groups`` rows that share an id are one node, linked by the links of either, and a
+null id is a node after all others and stays null; in ``keep_one`` rows are one node only
+if they share id and text, and stay or go together; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,8 +53,9 @@ ESTIMATE = 0.42
 _NULL = (1 << 63) - 1
 
 
-def _node() -> Column:
-    return F.coalesce(F.col("doc_id"), F.lit(_NULL))
+def _prefix(n: int) -> int:
+    """How many of the first shingles of a set of n must hold one in common with any near copy."""
+    return n - (3 * n + 3) // 4 + 1
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,10 +72,10 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": batch["node"], "n": sizes, "d1": sums, "d2": xors, "sketch": kept})
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """node, n, d1, d2 (digest of the set), sketch: one row for each row."""
-    rows = checked(docs, "doc_id", "text").select(_node().alias("node"), text_of().cast("binary").alias("text"))
-    return rows.mapInPandas(_sketches, "node long, n long, d1 long, d2 long, sketch array<long>")
+def sketches(texts: DataFrame) -> DataFrame:
+    """node, n, d1, d2 (digest of the set), sketch: one row for each row of node, text."""
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.mapInPandas(_sketches, f"node {kind}, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -137,7 +140,13 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extra = [np.setdiff1d(x, y, assume_unique=True) for x, y in both]
         n, nh = [len(x) for x, _ in both], [len(y) for _, y in both]
         shared = [len(x) - len(e) for (x, _), e in zip(both, extra, strict=True)]
-        yield pairs.assign(n=n, nh=nh, shared=shared, extra=[e.view(np.int64) for e in extra])
+        held = []
+        for (x, y), e in zip(both, extra, strict=True):
+            room = _prefix(len(x)) - len(e)
+            held.append(np.intersect1d(x, y, assume_unique=True)[:room] if room > 0 else x[:0])
+        yield pairs.assign(
+            n=n, nh=nh, shared=shared, extra=[e.view(np.int64) for e in extra], held=[x.view(np.int64) for x in held]
+        )
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, left: str, right: str) -> DataFrame:
@@ -151,28 +160,38 @@ def _open_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
     placed = stars.join(found, stars.a == found.node, "left").withColumn("component", F.coalesce("component", "a"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     placed = staged(placed.drop("node").join(mixed.filter("lo <> hi").select("h"), "h"), "placed")
-    beyond = placed.select("h", "a", "n", "linked", "component", F.explode("extra").alias("v"))
+    member = ["h", "a", "n", "linked", "component"]
+    extra, held = F.size("extra"), F.size("held")
+    beyond = placed.select(*member, extra.alias("first"), F.lit(0).alias("at"), F.explode("extra").alias("v")).unionByName(
+        # Behind all extra shingles, in the order of their hashes.
+        placed.filter(held > 0).select(*member, extra.alias("first"), F.posexplode("held").alias("at", "v")).withColumn("at", F.col("at") + 1)
+    )
     lists = beyond.groupBy("h", "v").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"), F.count("*").alias("times")
     )
-    beyond = beyond.join(lists.filter("lo <> hi and not all_linked").select("h", "v"), ["h", "v"])
-    x, y = beyond.alias("x"), beyond.alias("y")
-    apart = "x.component <> y.component and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)"
-    outside = x.join(
-        y, F.expr(f"x.h = y.h and x.v = y.v and x.a > y.a and not (x.linked and y.linked) and {apart}")
+    open_lists = lists.filter("lo <> hi and not all_linked").select("h", "v", "times")
+    beyond = beyond.join(open_lists, ["h", "v"])
+    # At most a set's shingles for each member.
+    own = Window.partitionBy("h", "a", F.col("at") > 0)
+    place = F.when(F.col("at") > 0, F.col("first") + F.col("at") - 1).otherwise(
+        F.col("first") - F.count("*").over(own) + F.row_number().over(own.orderBy("times", "v")) - 1
     )
-    gray, small = placed.filter("not linked and 100 * shared >= 75 * n").alias("x"), placed.alias("y")
-    by_size = gray.join(
-        small, F.expr(f"x.h = y.h and x.a <> y.a and 75 * y.n <= 175 * x.shared - 75 * x.n and {apart}")
+    beyond = beyond.withColumn("place", place).filter("place < n - floor((3 * n + 3) / 4) + 1")
+    x, y = beyond.alias("x"), beyond.alias("y")
+    pairs = x.join(
+        y,
+        F.expr(
+            """x.h = y.h and x.v = y.v and x.a > y.a and not (x.linked and y.linked) and x.component <> y.component
+               and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)"""
+        ),
     )
-    pair = [F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b")]
-    return outside.select(*pair).unionByName(by_size.select(*pair)).distinct()
+    return pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    rows = staged(sketches(docs), "sketches")
-    texts = checked(docs, "doc_id", "text").select(_node().alias("node"), text_of().cast("binary").alias("text"))
+def _groups(texts: DataFrame) -> DataFrame:
+    """node, n, component (the smallest node) for every row of node, text."""
+    kind = texts.schema["node"].dataType.simpleString()
+    rows = staged(sketches(texts), "sketches")
     key = ["n", "d1", "d2"]
     classes = staged(
         rows.filter("n > 0").groupBy(*key).agg(F.min("node").alias("cls"), F.first("sketch").alias("sketch")), "classes"
@@ -181,33 +200,48 @@ def near_groups(docs: DataFrame) -> DataFrame:
     edges = staged(alike.filter("node <> cls").select(F.col("node").alias("a"), F.col("cls").alias("b")), "edges")
 
     lists = staged(_lists(classes), "lists")
-    hubs = lists.groupBy("value").agg(F.max(F.struct("common", (-F.col("cls")).alias("minus"))).alias("best"))
-    hubs = hubs.select("value", (-F.col("best.minus")).alias("h"))
+    hubs = lists.groupBy("value").agg(F.max(F.struct("common", "cls")).alias("best"))
+    hubs = hubs.select("value", F.col("best.cls").alias("h"))
     met = lists.join(hubs, "value").filter("cls <> h").select(F.col("cls").alias("a"), "h").distinct()
     stars = _with_texts(staged(met, "met"), texts, "a", "h").mapInPandas(
-        _meet, "a long, h long, n long, nh long, shared long, extra array<long>"
+        _meet, f"a {kind}, h {kind}, n long, nh long, shared long, extra array<long>, held array<long>"
     )
     stars = staged(stars.withColumn("linked", F.expr("100 * shared >= 75 * (n + nh - shared)")), "stars")
     edges = staged(edges.unionByName(stars.filter("linked").select("a", F.col("h").alias("b"))), "edges")
 
     found = staged(components(edges), "found")
     more = staged(_estimated(_open_pairs(stars, found), classes), "pairs")
-    edges = edges.unionByName(_with_texts(more, texts, "a", "b").mapInPandas(_confirm, "a long, b long"))
+    edges = edges.unionByName(_with_texts(more, texts, "a", "b").mapInPandas(_confirm, f"a {kind}, b {kind}"))
     found = staged(components(edges), "found")
-    smallest = F.coalesce("component", "node")
-    return (
-        rows.select("node", "n")
-        .join(found, "node", "left")
-        .select(
-            F.when(F.col("node") != _NULL, F.col("node")).alias("doc_id"),
-            F.col("n").alias("n_shingles"),
-            F.when(smallest != _NULL, smallest).alias("component_id"),
-            (F.col("node") == smallest).alias("kept"),
-        )
+    return rows.select("node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _texts(docs: DataFrame, node: Column) -> DataFrame:
+    return checked(docs, "doc_id", "text").select(node.alias("node"), text_of().cast("binary").alias("text"))
+
+
+def near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    node, smallest = F.col("node"), F.col("component")
+    return _groups(_texts(docs, F.coalesce(F.col("doc_id"), F.lit(_NULL)))).select(
+        F.when(node != _NULL, node).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.when(smallest != _NULL, smallest).alias("component_id"),
+        (node == smallest).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with the columns they came with."""
-    gone = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows that stay, with the columns they came with: of each group the one with the smallest id.
+
+    Where ids are null or repeat, a row goes by its id and text, so that no row is dropped for another of its id.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("doc_id is null or rows > 1")
+    if shared.isEmpty():
+        node = docs["doc_id"]
+    else:
+        # In the order of ids, null after all.
+        number = F.lpad(F.hex(docs["doc_id"].bitwiseXOR(F.lit(-1 << 63))), 16, "0")
+        node = F.concat(F.coalesce(number, F.lit("null")), F.lit(" "), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")))
+    gone = _groups(_texts(docs, node)).filter("node <> component").select(F.col("node").alias("_gone")).distinct()
+    return docs.join(gone, node == gone["_gone"], "left_anti")

@@ -202,6 +202,37 @@ class TestNear:
         assert near_dedup.near_groups(nothing).count() == 0
         assert near_dedup.keep_one(docs).columns == docs.columns
 
+    def test_rows_that_share_an_id_or_have_none(self, spark):
+        text = " ".join(f"t{i}" for i in range(60))
+        other, third = " ".join(f"o{i}" for i in range(60)), " ".join(f"p{i}" for i in range(60))
+        rows = [(1, text, "a"), (None, text + " x", "b"), (None, other, "c"), (2, text + " y", "d"), (2, third, "e")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(2)
+        kept = near_dedup.keep_one(df)
+        assert kept.columns == df.columns
+        assert sorted(r.node for r in kept.collect()) == ["a", "c", "e"]
+        some = [(5, text, "a"), (-7, text + " x", "b"), (-7, None, "c"), (None, None, "d"), (None, "", "e"), (3, other, "f")]
+        df = spark.createDataFrame(some, "doc_id long, text string, _gone string")
+        assert sorted(r["_gone"] for r in near_dedup.keep_one(df).collect()) == ["b", "c", "d", "e", "f"]
+
+    def test_open_pairs_grow_with_the_family(self, spark, monkeypatch):
+        """Relatives of one text, none a near copy of another: pairs in proportion, not to the square."""
+        made, inner = [], near_dedup._open_pairs
+        monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: made.append(inner(*a)) or made[-1])
+        for share in (0.2, 0.35):
+            counts = []
+            for size in (200, 400, 800):
+                rng = np.random.default_rng(size)
+                base, texts = [f"b{i}" for i in range(200)], []
+                for k in range(size):
+                    text = list(base)
+                    for block in rng.choice(20, int(20 * share), replace=False):
+                        text[block * 10 : block * 10 + 10] = [f"k{k}x{block}y{i}" for i in range(10)]
+                    texts.append(" ".join(text))
+                df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+                assert {r.component_id for r in near_dedup.near_groups(df).collect()} == set(range(size))
+                counts.append(made.pop().count())
+            assert counts[2] <= max(5 * counts[0], 800), counts
+
     def test_components(self, spark):
         edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
         found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
