@@ -42,7 +42,7 @@ from stratafold.llm.anchors import mix
 from stratafold.llm.common import checked, staged, text_of
 
 BLOCK = 1 << 20
-ENTRIES = 400_000
+ENTRIES = 800_000
 #: Of the bit map of frequent fingerprints.
 BITS = 1 << 26
 LONGEST = 4
@@ -172,7 +172,7 @@ def _count_level(
     for _, block in _blocks(batches, mask):
         held.append(block.prints(_possible(block, n, bits), n))
         total += len(held[-1])
-        if total > 4 * ENTRIES:
+        if total > 2 * ENTRIES:
             yield summed()
             held, total = [], 0
     if total:
@@ -213,7 +213,7 @@ class _Table:
 
     def __init__(self, lang: str):
         self.lang, self.number, self.words, self.n_words = lang, {}, [], 0
-        self.entries, self.pending = [], 0
+        self.entries, self.merged, self.pending = [], 0, 0
 
     def _numbers(self, block: Block, at: np.ndarray) -> np.ndarray:
         """The number of the word at each place, by text: places of one fingerprint are compared byte by byte."""
@@ -259,19 +259,23 @@ class _Table:
             if may.any():
                 self._merge(_combined(prints[may], ids[may], np.ones(may.sum(), np.int64)))
 
-    def _merge(self, more: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> None:
-        if more is not None:
-            self.entries.append(more)
-            self.pending += len(more[0])
-        if len(self.entries) > 1 and (more is None or self.pending > ENTRIES):
+    def _merge(self, more: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        self.entries.append(more)
+        self.pending += len(more[0])
+        # Merged whenever the entries have doubled, so that the work stays in proportion.
+        if self.pending > self.merged + ENTRIES // 8:
+            self.settle()
+
+    def settle(self) -> None:
+        if len(self.entries) > 1:
             self.entries = [_combined(*(np.concatenate(x) for x in zip(*self.entries, strict=True)))]
-            self.pending = len(self.entries[0][0])
+        self.merged, self.pending = sum(len(e[0]) for e in self.entries), 0
 
-    def full(self) -> bool:
-        return self.pending > ENTRIES or len(self.words) > ENTRIES
+    def size(self) -> int:
+        return max(self.merged, len(self.words))
 
     def rows(self) -> pd.DataFrame:
-        self._merge(None)
+        self.settle()
         phrases, sizes, times = [b""], [0], [self.n_words]
         for _, ids, sums in self.entries:
             lengths = (ids >= 0).sum(axis=1)
@@ -284,11 +288,8 @@ class _Table:
 def _count_phrases(batches: Iterator[pd.DataFrame], maps: Broadcast, mask: int | None) -> Iterator[pd.DataFrame]:
     tables: dict[str, _Table] = {}
     for lang, block in _blocks(batches, mask):
-        table = tables.setdefault(lang, _Table(lang))
-        table.add(block, maps.value)
-        if table.full():
-            yield tables.pop(lang).rows()
-        elif sum(len(t.words) + t.pending for t in tables.values()) > 2 * ENTRIES:
+        tables.setdefault(lang, _Table(lang)).add(block, maps.value)
+        if sum(t.size() for t in tables.values()) > ENTRIES:
             yield from (t.rows() for t in tables.values())
             tables.clear()
     yield from (t.rows() for t in tables.values())
