@@ -144,11 +144,12 @@ def salted_join(
     residual: Column | None = None,
     hot_rows: int = HOT_ROWS,
     small_bytes: int = SMALL_BYTES,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = BROADCAST_BYTES,
 ) -> DataFrame:
     """Equi-join (inner or left) on same-named ``keys`` plus an optional residual.
 
-    A right side of checked size is broadcast.  Otherwise hot left keys are salted
+    A right side of checked size is broadcast; with ``broadcast_bytes=None`` the caller
+    has checked it.  Otherwise hot left keys are salted
     over several tasks and only their right rows are repeated, once per salt, so
     each left row still meets each right row of its key exactly once.  NULL left
     keys, which match nothing, are scattered too.  The result keeps the left
@@ -163,7 +164,7 @@ def salted_join(
     extras = [c for c in right.columns if c not in keys]
     names = {k: f"_r_{k}" for k in keys}
 
-    if fits_broadcast(right, broadcast_bytes):
+    if broadcast_bytes is None or fits_broadcast(right, broadcast_bytes):
         right = F.broadcast(right.withColumnsRenamed(names))
         return left.join(right, _condition(names, residual), how).select(*left.columns, *extras)
 

@@ -301,6 +301,16 @@ ORACLES = {
     "pit_join_closed": PIT.format(how="", inside="occurred_at BETWEEN h.valid_from AND h.valid_to"),
     "pit_join_half_open": PIT.format(how="", inside=HALF_OPEN),
     "pit_join_left": PIT.format(how="LEFT", inside=HALF_OPEN),
+    "pit_join_overlapping": f"""
+      WITH visits AS (
+        SELECT s_suppkey, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW', 'no such'][s_suppkey % 6 + 1] AS priority,
+               TIMESTAMP '1992-01-01' + to_days(CAST(s_suppkey * 7 % 2500 AS INTEGER)) AS visited
+        FROM supplier
+      )
+      SELECT s_suppkey, count(o_orderkey) AS orders, min(o_orderkey) AS least, max(o_orderkey) AS greatest
+      FROM visits LEFT JOIN orders ON o_orderpriority = priority AND visited >= o_orderdate
+        AND visited <= CASE WHEN o_orderkey % 20 = 0 THEN {END} ELSE o_orderdate + INTERVAL 30 DAY END
+      GROUP BY s_suppkey""",
     "top_customers_window": f"WITH {TOTALS} SELECT * FROM top10",
     "delivery_top": f"WITH {TOTALS} SELECT * FROM top10",
     "top_share": f"""WITH {TOTALS},

@@ -159,6 +159,29 @@ def pit_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pit(spark, sf_dir, bounds="half_open", how="left")
 
 
+def pit_join_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders open for a month or for ever at the time of each supplier's visit: many overlapping versions of few keys."""
+    orders = fx.table(spark, sf_dir, "orders")
+    start = F.col("o_orderdate").cast("timestamp_ntz")
+    ends = F.when(F.col("o_orderkey") % 20 == 0, F.lit(domains.OPEN_END).cast("timestamp_ntz"))
+    versions = orders.select(
+        F.col("o_orderpriority").alias("priority"),
+        "o_orderkey",
+        start.alias("valid_from"),
+        F.coalesce(ends, start + F.expr("INTERVAL 30 DAYS")).alias("valid_to"),
+    )
+    names = F.array(*[F.lit(p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "no such")])
+    visits = fx.table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.element_at(names, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("priority"),
+        F.expr("timestamp_ntz'1992-01-01 00:00:00' + make_dt_interval(cast(s_suppkey * 7 % 2500 as int))").alias("at"),
+    )
+    met = pit_join(visits, versions, "priority", "at", how="left")
+    return met.groupBy("s_suppkey").agg(
+        F.count("o_orderkey").alias("orders"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest")
+    )
+
+
 # -- marts and deliveries -----------------------------------------------------------
 
 
@@ -545,6 +568,7 @@ QUERIES = {
         pit_join_closed,
         pit_join_half_open,
         pit_join_left,
+        pit_join_overlapping,
         top_customers_window,
         delivery_top,
         top_share,

@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratafold.operators.pit import pit_join
+from stratafold.operators.pit import LEVEL, block_sizes, cover, listed, pit_join
 from stratafold.operators.scd2 import rebuild
+from stratafold.operators.skew import range_borders
 from tests.conftest import rows
 
 
@@ -72,6 +73,51 @@ def test_key_with_thousands_of_versions_against_brute_force(spark):
         assert rows(pit_join(df, versions, "c", "at", **limits), "n", "plan") == expected
 
 
+@pytest.mark.parametrize("first,last", [(0, 0), (3, 6), (3, 7), (0, 781), (1, 780), (5, 1023), (512, 1023), (7, 4000)])
+def test_cover_is_exact_and_short(spark, first, last):
+    blocks = spark.range(1).select(cover(F.lit(first).cast("long"), F.lit(last).cast("long"))).first()[0]
+    held = [r for b in blocks for r in range((b % LEVEL) << (b // LEVEL), ((b % LEVEL) + 1) << (b // LEVEL))]
+    assert sorted(held) == list(range(first, last + 1))
+    assert len(blocks) <= max(4, 2 * (last + 1).bit_length())
+
+
+def open_versions(spark, n, share_open):
+    """Versions of one key, in order, of which a share never ends; a few of another key."""
+    return spark.range(n).selectExpr(
+        "if(id % 1000 = 7, 'cold', 'hot') c",
+        "cast(id as string) plan",
+        "timestamp_seconds(1700000000 + id * 60) valid_from",
+        f"if(id % 100 < {share_open}, timestamp '9999-12-31', timestamp_seconds(1700000000 + id * 60 + id % 7 * 40000)) valid_to",
+    )
+
+
+def test_open_versions_are_listed_few_times(spark):
+    versions = open_versions(spark, 100_000, 100)
+    borders = range_borders(versions, "c", "valid_from", 512, 128)
+    rows_ = listed(versions, borders, "c", "valid_from", "valid_to")
+    assert 100_000 <= rows_.count() < 20 * 100_000
+    assert block_sizes(rows_, "c").count() == 1
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("bounds", ["closed", "half_open"])
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0, "small_bytes": 0, "hot_rows": 100}])
+def test_overlapping_versions_of_a_hot_key_against_brute_force(spark, how, bounds, limits):
+    versions = open_versions(spark, 4000, 5)
+    df = spark.range(-30, 400).selectExpr(
+        "case when id % 90 = 0 then null when id % 50 = 1 then 'none' when id % 5 = 0 then 'cold' else 'hot' end c",
+        "timestamp_seconds(1700000000 + id * 613) at",
+        "id n",
+    )
+    df = df.unionByName(df.filter("n % 40 = 3"))
+    until = "at <= valid_to" if bounds == "closed" else "at < valid_to"
+    brute = df.join(versions.withColumnRenamed("c", "k"), F.expr(f"c = k and at >= valid_from and {until}"), how)
+    got = pit_join(df, versions, "c", "at", bounds=bounds, how=how, many_versions=200, **limits)
+    summed = [F.count("*").alias("rows"), F.sum(F.xxhash64("plan").cast("decimal(38,0)")).alias("plans")]
+    assert got.columns == ["c", "at", "n", "plan", "valid_from", "valid_to"]
+    assert rows(got.groupBy("n").agg(*summed)) == rows(brute.groupBy("n").agg(*summed))
+
+
 def test_arguments_are_checked(spark):
     df, versions = facts(spark, ("c1", "2026-01-05", 1)), history(spark).select(*VERSION)
     with pytest.raises(ValueError):
