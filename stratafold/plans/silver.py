@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratafold.functions import iso_date, iso_timestamp, truth
 from stratafold.operators.dedup import keep_latest, null_key_rows
+from stratafold.operators.keyfilter import key_filter, maybe_held
 from stratafold.operators.merge import newest_wins
 from stratafold.operators.scd2 import apply_one_pass, apply_two_step
 from stratafold.operators.sizing import BROADCAST_BYTES, fits_broadcast
@@ -56,6 +57,21 @@ def with_day(events: DataFrame) -> DataFrame:
     return events.withColumn(EVENT_DATE, day)
 
 
+def held_days(target: DataFrame, batch: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(event_id, day) of the table's rows whose key is in the batch, a staged table.
+
+    A batch of more keys than may be broadcast is first put to the scan as a filter of
+    fixed size, so that about as many rows are shuffled as the batch has.
+    """
+    keys = batch.select("event_id").filter(F.col("event_id").isNotNull())
+    scan = target.select("event_id", EVENT_DATE)
+    if fits_broadcast(keys, broadcast_bytes):
+        keys = F.broadcast(keys)
+    else:
+        scan = maybe_held(scan, ["event_id"], key_filter(keys, ["event_id"]))
+    return scan.join(keys, "event_id", "left_semi")
+
+
 def upsert_events(layers: Layers, batch: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """Newest-wins upsert of a deduplicated batch, rewriting only the days it touches.
 
@@ -69,10 +85,7 @@ def upsert_events(layers: Layers, batch: DataFrame, broadcast_bytes: int = BROAD
     layers.recover(table)
     batch = staged(with_day(batch), "events-batch")
     target = layers.read(table, physical=True)
-    keys = batch.select("event_id").filter(F.col("event_id").isNotNull())
-    if fits_broadcast(keys, broadcast_bytes):
-        keys = F.broadcast(keys)
-    held = target.select("event_id", EVENT_DATE).join(keys, "event_id", "left_semi")
+    held = held_days(target, batch, broadcast_bytes)
     # Days only: bounded by the calendar span of the table.
     days = batch.select(EVENT_DATE).union(held.select(EVENT_DATE)).distinct()
     touched = sorted(row[0] for row in days.collect())

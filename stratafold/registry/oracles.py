@@ -418,4 +418,7 @@ ORACLES = {
     "silver_upsert_by_day": f"""{STREAMED}
       SELECT CAST(occurred_at AS DATE) AS event_date, channel, {BATCH_OF} AS _batch_id, count(*) AS rows
       FROM ranked WHERE r = 1 GROUP BY 1, 2, 3""",
+    "upsert_touched_days": """
+      SELECT CAST(ts AS DATE) AS event_date, count(*) AS rows FROM events
+      WHERE event_id IN (SELECT event_id FROM events WHERE day(ts) = 7) GROUP BY 1""",
 }

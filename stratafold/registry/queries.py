@@ -33,7 +33,7 @@ from stratafold.operators.scd2 import (
 from stratafold.plans import delivery, marts
 from stratafold.plans.gate import log_results
 from stratafold.plans.medallion import backfill, run_batch
-from stratafold.plans.silver import load_silver_events, with_day
+from stratafold.plans.silver import held_days, load_silver_events, with_day
 from stratafold.registry import fixtures as fx
 from stratafold.session import new_folder, staged
 from stratafold.sources import landing
@@ -553,6 +553,16 @@ def silver_upsert_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_date", "channel", "_batch_id").agg(F.count("*").alias("rows"))
 
 
+def upsert_touched_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of events that a batch of late corrections and new ids meets, through the key filter."""
+    events = with_day(fx.silver_events(spark, sf_dir))
+    late = events.filter(F.dayofmonth("occurred_at") == 7).select("event_id")
+    fresh = events.select(F.concat(F.lit("new"), "event_id").alias("event_id"))
+    batch = staged(late.unionByName(fresh), "corrections")
+    held = held_days(events, batch, broadcast_bytes=0)
+    return held.groupBy(schemas.EVENT_DATE).agg(F.count("*").alias("rows"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -604,6 +614,7 @@ QUERIES = {
         backfill_range,
         stream_to_silver,
         silver_upsert_by_day,
+        upsert_touched_days,
     )
 } | {
     "insert_if_absent": insert_absent,
