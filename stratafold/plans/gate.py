@@ -30,6 +30,7 @@ def log_results(layers: Layers, rows: DataFrame) -> None:
 
 def run_gate(layers: Layers, batch_id: str) -> DataFrame:
     """Run all checks, log all of them, then raise if a blocking one failed."""
+    layers.recover("silver.events", "silver.customers")
     found = quality.report(layers.read("silver.events"), layers.read("silver.customers"), batch_id)
     rows = staged(found, "checks")
     log_results(layers, rows)

@@ -22,6 +22,7 @@ logger = logging.getLogger(__name__)
 
 def build_marts(layers: Layers, bounds: str = "closed") -> None:
     """Rebuild the three marts from all of Silver."""
+    layers.recover("silver.events", "silver.customers")
     events = layers.read("silver.events", physical=True)
     customers = layers.read("silver.customers")
     built: dict[str, DataFrame] = {

@@ -13,13 +13,14 @@ from stratafold.operators.keyfilter import key_filter, maybe_held
 from stratafold.operators.merge import newest_wins
 from stratafold.operators.scd2 import apply_one_pass, apply_two_step
 from stratafold.operators.sizing import BROADCAST_BYTES, fits_broadcast
-from stratafold.schemas import BRONZE_EVENTS, EVENT_DATE, SILVER_EVENTS
+from stratafold.schemas import BRONZE_EVENTS, BUCKET, EVENT_DATE, SILVER_EVENTS
 from stratafold.session import staged
 from stratafold.sources import files
 from stratafold.sources.layers import Layers
 
 logger = logging.getLogger(__name__)
 
+HISTORY = "silver.customers"
 # Day of rows whose event time is missing or malformed.
 NO_DAY = "1970-01-01"
 
@@ -128,14 +129,20 @@ def quarantine_folder(layers: Layers, source: str, part: str) -> str:
 
 
 def load_silver_customers(layers: Layers, batch_id: str, mode: str = "one_pass") -> None:
-    """Apply a batch to the customer history.
+    """Apply a batch to the customer history; only the buckets of its keys are read and rewritten.
 
     "one_pass" rebuilds the intervals of the batch's keys and so takes late and
     repeated versions as they come; "two_step" closes and inserts in two separate
     merges and refuses several newer versions of a key.
     """
-    table = "silver.customers"
-    layers.create(table)
-    batch = typed_customers(layers.batch("bronze.customers", batch_id))
+    layers.create(HISTORY)
+    layers.recover(HISTORY)
+    batch = staged(layers.bucketed(HISTORY, typed_customers(layers.batch("bronze.customers", batch_id))), "customers-batch")
+    # Bucket numbers: at most as many as the table has buckets.
+    touched = sorted(row[0] for row in batch.select(BUCKET).distinct().collect())
+    if not touched:
+        return
+    history = layers.read(HISTORY, physical=True).filter(F.col(BUCKET).isin(touched)).drop(BUCKET)
     apply = {"two_step": apply_two_step, "one_pass": apply_one_pass}[mode]
-    layers.swap(table, apply(layers.read(table), batch, "customer_id"))
+    changed = apply(history, batch.drop(BUCKET), "customer_id")
+    layers.swap_partitions(HISTORY, layers.bucketed(HISTORY, changed), touched)

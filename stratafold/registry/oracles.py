@@ -246,7 +246,8 @@ CATALOG = (
      "_ingested_at timestamp, _source_file string, _batch_id string, event_date date"),
     ("silver.customers", "customer_id string, company_name string, plan string, segment string, "
      "signup_date date, country string, is_active boolean, updated_at timestamp, valid_from timestamp, "
-     "valid_to timestamp, is_current boolean, _ingested_at timestamp, _source_file string, _batch_id string"),
+     "valid_to timestamp, is_current boolean, _ingested_at timestamp, _source_file string, _batch_id string, "
+     "key_bucket int"),
     ("gold.top_customers_30d", "customer_id string, company_name string, plan string, segment string, "
      "total_events bigint, _generated_at timestamp"),
     ("gold.response_time", "plan string, month string, avg_response_minutes double, answered_tickets bigint, "
@@ -421,4 +422,7 @@ ORACLES = {
     "upsert_touched_days": """
       SELECT CAST(ts AS DATE) AS event_date, count(*) AS rows FROM events
       WHERE event_id IN (SELECT event_id FROM events WHERE day(ts) = 7) GROUP BY 1""",
+    "history_by_bucket": f"""WITH {CUSTOMER_HISTORY}
+      SELECT customer_id, plan, valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to, valid_to = {END} AS is_current
+      FROM customer_history""",
 }

@@ -33,7 +33,7 @@ from stratafold.operators.scd2 import (
 from stratafold.plans import delivery, marts
 from stratafold.plans.gate import log_results
 from stratafold.plans.medallion import backfill, run_batch
-from stratafold.plans.silver import held_days, load_silver_events, with_day
+from stratafold.plans.silver import held_days, load_silver_customers, load_silver_events, with_day
 from stratafold.registry import fixtures as fx
 from stratafold.session import new_folder, staged
 from stratafold.sources import landing
@@ -553,6 +553,26 @@ def silver_upsert_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("event_date", "channel", "_batch_id").agg(F.count("*").alias("rows"))
 
 
+def history_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three Bronze batches of customers through the bucketed history: moves before first versions, then one again."""
+    layers = fx.scratch_layers(spark, "buckets")
+    layers.create("bronze.customers")
+    feed = fx.raw_customers(spark, sf_dir).withColumn("is_active", F.col("is_active").cast("string"))
+    raw = staged(feed, "feed")
+    moved = F.col("updated_at") > F.lit("2024-01-02")
+    small = moved & F.col("customer_id").endswith("11")
+    for day, rows in (("2024-01-16", raw.filter(moved)), ("2024-01-17", raw.filter(~moved)), ("2024-01-18", raw.filter(small))):
+        layers.replace_batch("bronze.customers", rows.withColumns(lineage(day, "customers")), day)
+        load_silver_customers(layers, day)
+    return layers.read("silver.customers").select(
+        "customer_id",
+        "plan",
+        F.col("valid_from").cast("timestamp_ntz").alias("valid_from"),
+        fx.text_time("valid_to"),
+        "is_current",
+    )
+
+
 def upsert_touched_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The days of events that a batch of late corrections and new ids meets, through the key filter."""
     events = with_day(fx.silver_events(spark, sf_dir))
@@ -615,6 +635,7 @@ QUERIES = {
         stream_to_silver,
         silver_upsert_by_day,
         upsert_touched_days,
+        history_by_bucket,
     )
 } | {
     "insert_if_absent": insert_absent,

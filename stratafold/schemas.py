@@ -92,6 +92,9 @@ WATERMARKS = _struct(*_strings("source", "last_updated_at", "updated_at"))
 
 # Physical partition column of silver.events; readers never see it.
 EVENT_DATE = "event_date"
+# And of the history: a hash bucket of the key, so that a batch rewrites only the buckets of its keys.
+BUCKET = "key_bucket"
+BUCKETED = {"silver.customers": "customer_id"}
 
 # table -> (schema, partition columns, format)
 TABLES: dict[str, tuple[T.StructType, tuple[str, ...], str]] = {
@@ -103,7 +106,11 @@ TABLES: dict[str, tuple[T.StructType, tuple[str, ...], str]] = {
         (EVENT_DATE,),
         "parquet",
     ),
-    "silver.customers": (SILVER_CUSTOMERS, (), "parquet"),
+    "silver.customers": (
+        T.StructType([*SILVER_CUSTOMERS, T.StructField(BUCKET, T.IntegerType(), True)]),
+        (BUCKET,),
+        "parquet",
+    ),
     "gold.top_customers_30d": (TOP_CUSTOMERS_30D, (), "parquet"),
     "gold.response_time": (RESPONSE_TIME, (), "parquet"),
     "gold.cohort_retention": (COHORT_RETENTION, (), "parquet"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.functions import canonical_order
-from stratafold.schemas import EVENT_DATE, LAYERS, TABLES
+from stratafold.schemas import BUCKET, BUCKETED, EVENT_DATE, LAYERS, TABLES
 from stratafold.sources import files
 
 
@@ -25,12 +25,15 @@ class Layers:
     """Names and folders of one set of layer tables.
 
     ``prefix`` goes before every namespace, so several sets can share a catalog.
+    ``buckets`` holds for history tables created from now on: enough that one bucket is
+    quickly rewritten (some GB), as few as the catalog should repoint in one batch.
     """
 
-    def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
+    def __init__(self, spark: SparkSession, root: str, prefix: str = "", buckets: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
         self.prefix = prefix
+        self.buckets = buckets
 
     # -- names -----------------------------------------------------------------
 
@@ -58,9 +61,10 @@ class Layers:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
         options = "OPTIONS (compression 'snappy')" if kind == "parquet" else ""
+        properties = f"TBLPROPERTIES ('buckets' = '{self.buckets}')" if table in BUCKETED else ""
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING {kind} "
-            f"{options} {by} LOCATION '{self._new_folder(table)}'"
+            f"{options} {by} LOCATION '{self._new_folder(table)}' {properties}"
         )
 
     def create_all(self) -> None:
@@ -74,12 +78,12 @@ class Layers:
     def read(self, table: str, physical: bool = False) -> DataFrame:
         """The table in declared column order, drift columns last.
 
-        ``physical=True`` keeps the day column that Silver events are stored by.
+        ``physical=True`` keeps the day or bucket column that a table is stored by.
         """
         df = self.spark.table(self.name(table))
         known = TABLES[table][0].fieldNames()
         df = df.select(*canonical_order(df.columns, known))
-        return df if physical else df.drop(EVENT_DATE)
+        return df if physical else df.drop(EVENT_DATE, BUCKET)
 
     def batch(self, table: str, batch_id: str) -> DataFrame:
         """The slice of one batch; reads only its partition where stored by batch."""
@@ -112,14 +116,27 @@ class Layers:
     def swap(self, table: str, df: DataFrame) -> None:
         """Full overwrite: write a new snapshot, then point the table to it.
 
-        The plan of ``df`` may read the table itself.
+        The plan of ``df`` may read the table itself.  Of a bucketed table all buckets
+        are replaced, one after the other.
         """
+        if table in BUCKETED:
+            buckets = range(self._buckets(table))
+            return self.swap_partitions(table, self.bucketed(table, df), buckets)
         schema, _, kind = TABLES[table]
         folder = self._new_folder(table)
         df.select(*schema.fieldNames()).write.format(kind).save(folder)
         self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{folder}'")
         self.spark.catalog.refreshTable(self.name(table))
 
+    def _buckets(self, table: str) -> int:
+        """The number of buckets that the table was created with."""
+        return int(self.spark.sql(f"SHOW TBLPROPERTIES {self.name(table)} ('buckets')").first()["value"])
+
+    def bucketed(self, table: str, df: DataFrame) -> DataFrame:
+        """Rows with the bucket of their key; rows without a key share one."""
+        bucket = F.pmod(F.xxhash64(F.col(BUCKETED[table])), F.lit(self._buckets(table))).cast("int")
+        return df.withColumn(BUCKET, bucket)
+
     def swap_partitions(self, table: str, df: DataFrame, touched: Iterable) -> None:
         """Replace the ``touched`` partitions with the rows of ``df``.
 
@@ -157,8 +174,11 @@ class Layers:
         files.delete(self.spark, self._change_note(table))
         self.spark.catalog.refreshTable(self.name(table))
 
-    def recover(self, table: str) -> bool:
-        """Complete a change of several partitions that was interrupted."""
+    def recover(self, *tables: str) -> bool:
+        """Complete changes of several partitions that were interrupted; before a table is read."""
+        return any([self._recover(table) for table in tables])
+
+    def _recover(self, table: str) -> bool:
         note = files.read_text(self.spark, self._change_note(table))
         if note is None:
             return False
