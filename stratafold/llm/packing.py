@@ -73,6 +73,8 @@ class Tokens:
         self.words, self.longest = words, longest
         self.known: dict[str, bytes] = {"": b""}
         setup = json.loads(self.model.to_str())
+        #: First characters of added tokens, which are matched in a text as it is, before it is lower-cased.
+        self.marks = {t["content"][0] for t in setup.get("added_tokens") or []}
         self.by_word = setup["model"].get("end_of_word_suffix") == "</w>" and "Lowercase" in str(setup["normalizer"])
         if self.by_word:
             self.bare = Tokenizer.from_file(path)
@@ -91,9 +93,13 @@ class Tokens:
             ids = model.encode_batch_fast(forms, add_special_tokens=False)
             self.known.update(zip(names, (array("I", e.ids).tobytes() for e in ids), strict=True))
 
-    @staticmethod
-    def _plain(word: str) -> tuple[str, str]:
-        """Lower case up to the Latin letters, and a last comma or stop by itself."""
+    def _plain(self, word: str) -> tuple[str, str]:
+        """Lower case up to the Latin letters, and a last comma or stop by itself.
+
+        A word that may hold an added token stays as it is.
+        """
+        if any(mark in word for mark in self.marks):
+            return word, ""
         tail = word[-1] if word[-1] in ",." and word[-2:-1].isalpha() else ""
         word = word[:-1] if tail else word
         return (word.lower() if _latin(word) else word), tail
@@ -262,28 +268,30 @@ def pack(
             packer.rows = []
             return frame
 
-        for batch in batches:
-            ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            at = 0
-            while at < len(ids):
-                # About 2 MB of text at a time, one text at least.
-                stop, size = at, 0
-                while stop < len(ids) and (stop == at or size < 2_000_000):
-                    size += len(batch["text"].iat[stop]) + len(batch["prompt"].iat[stop])
-                    stop += 1
-                body = tokens.encode(list(batch["text"].iloc[at:stop]))
-                head = tokens.encode(list(batch["prompt"].iloc[at:stop]))
-                packer.add(
-                    [
-                        (doc, np.concatenate([p, b, end]), len(p))
-                        for doc, p, b in zip(ids[at:stop], head, body, strict=True)
-                    ]
-                )
-                packer.fill(packer.low)
-                yield out()
-                at = stop
-        packer.finish()
-        gc.enable()
-        yield out()
+        try:
+            for batch in batches:
+                ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
+                at = 0
+                while at < len(ids):
+                    # About 2 MB of text at a time, one text at least.
+                    stop, size = at, 0
+                    while stop < len(ids) and (stop == at or size < 2_000_000):
+                        size += len(batch["text"].iat[stop]) + len(batch["prompt"].iat[stop])
+                        stop += 1
+                    body = tokens.encode(list(batch["text"].iloc[at:stop]))
+                    head = tokens.encode(list(batch["prompt"].iloc[at:stop]))
+                    packer.add(
+                        [
+                            (doc, np.concatenate([p, b, end]), len(p))
+                            for doc, p, b in zip(ids[at:stop], head, body, strict=True)
+                        ]
+                    )
+                    packer.fill(packer.low)
+                    yield out()
+                    at = stop
+            packer.finish()
+            yield out()
+        finally:
+            gc.enable()
 
     return rows.mapInPandas(task, SCHEMA)

@@ -240,6 +240,19 @@ class TestNear:
 
 
 class TestPacking:
+    def test_added_tokens_in_any_spelling(self):
+        """An added token is one id only as the vocabulary writes it; other spellings are ordinary text."""
+        from tokenizers import Tokenizer
+
+        model, tokens = Tokenizer.from_file(registry.TOKENIZER), packing.Tokens(registry.TOKENIZER)
+        texts = []
+        for token in ("<|endoftext|>", "<|startoftext|>"):
+            for form in (token, token.upper(), token.title()):
+                texts += [form, f"A {form} b", f"x{form}Y", f"{form}{form},", f"<{form}.", f"end{form}."]
+        texts += ["a<b", "IF x<Y THEN", "<P>Hello, World.</P>", "|<|", "1<2,"]
+        got = [ids.tolist() for ids in tokens.encode(texts)]
+        assert got == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
     def test_round_trip(self, docs):
         from tokenizers import Tokenizer
 
