@@ -7,7 +7,8 @@ every word, and prefix polynomials over those one for every n-gram, whatever its
    n-gram can only be frequent if its first and its last n - 1 words are, so a level sends
    just the n-grams for which the level below leaves that possible.  It is told by a bit
    map of fixed size (``BITS``), made from the frequent fingerprints; a bit set by chance
-   costs shuffled rows and changes nothing.  Fingerprints that collide only add up.
+   costs shuffled rows and changes nothing.  Fingerprints that collide only add up, so
+   here they are cut to ``SPARE`` bits more than it takes to number all bytes of the texts.
 2. One more pass keeps, for every fingerprint that may be frequent, a pointer to an
    occurrence, and compares all other occurrences with it word by word; what differs
    becomes an entry of its own.  Phrases are written out where a table of pointers is
@@ -28,6 +29,7 @@ language without a phrase that is frequent enough.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from functools import partial
@@ -43,8 +45,9 @@ from stratafold.llm.common import checked, staged, text_of
 
 BLOCK = 1 << 20
 ENTRIES = 800_000
-#: Of the bit map of frequent fingerprints.
+#: Of the bit map of frequent fingerprints, a power of two.
 BITS = 1 << 26
+SPARE = 4
 LONGEST = 4
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -161,7 +164,7 @@ def _possible(block: Block, n: int, below: np.ndarray | None) -> np.ndarray:
 
 
 def _count_level(
-    batches: Iterator[pd.DataFrame], n: int, below: Broadcast | None, mask: int | None
+    batches: Iterator[pd.DataFrame], n: int, below: Broadcast | None, narrow: int, mask: int | None
 ) -> Iterator[pd.DataFrame]:
     bits, held, total = below.value if below else None, [], 0
 
@@ -170,7 +173,7 @@ def _count_level(
         return pd.DataFrame({"print": prints.view(np.int64), "times": times})
 
     for _, block in _blocks(batches, mask):
-        held.append(block.prints(_possible(block, n, bits), n))
+        held.append(block.prints(_possible(block, n, bits), n) & np.uint64(narrow))
         total += len(held[-1])
         if total > 2 * ENTRIES:
             yield summed()
@@ -181,9 +184,8 @@ def _count_level(
 
 def _bit_map(frequent: DataFrame, bits: int) -> np.ndarray:
     """The bits of all fingerprints: at most bits / 64 rows come to the driver."""
-    spread = F.expr(f"pmod(CAST(conv(hex(print), 16, 10) AS DECIMAL(20, 0)), {bits})").cast("long")
     words = (
-        frequent.select(spread.alias("bit"))
+        frequent.select((F.col("print") % bits).alias("bit"))
         .groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("set"))
         .toPandas()
@@ -304,10 +306,12 @@ def phrase_counts(docs: DataFrame, least: int = 30, bits: int = BITS, mask: int
     texts = checked(docs, "lang", "text").select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().cast("binary").alias("text")
     )
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    narrow = (1 << min(62, max(bits.bit_length() - 1, math.ceil(math.log2(size + 2)) + SPARE))) - 1
     maps: list[np.ndarray] = []
     below = None
     for n in range(1, LONGEST + 1):
-        sums = texts.mapInPandas(partial(_count_level, n=n, below=below, mask=mask), "print long, times long")
+        sums = texts.mapInPandas(partial(_count_level, n=n, below=below, narrow=narrow, mask=mask), "print long, times long")
         frequent = sums.groupBy("print").agg(F.sum("times").alias("times")).filter(F.col("times") >= least)
         maps.append(_bit_map(frequent, bits))
         below = spark.sparkContext.broadcast(maps[-1])
