@@ -14,7 +14,8 @@ not one site's template.
 
 Results by case: null html is empty and gives an empty text; text outside any tag is a
 block; unclosed and unmatched tags close as in browsers; scripts, styles, comments and
-hidden elements never become blocks; a page of any length is read whole, one block after
+hidden elements never become blocks; attributes and comments end as in browsers, and a
+tag that the page's end cuts off is no text; a page of any length is read whole, one block after
 another; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -67,11 +69,17 @@ _ELEMENTS = [
     (),
 ]
 
+# Attributes: a quote opens a value only behind "=", and an open value ends with the page.
+_KEY = r"[^\t\n\f\r />][^\t\n\f\r />=]*+"
+_IS = r"[\t\n\f\r ]*+=[\t\n\f\r ]*+"
+_PAIRS = rf"""(?:[\t\n\f\r /]++|{_KEY}(?:{_IS}(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >]++)?+)?+)*+"""
+_ATTRIBUTE = re.compile(rf"""({_KEY})(?:{_IS}(?:"([^"]*+)"?|'([^']*+)'?|([^\t\n\f\r >]++))?+)?+""")
+# Comments end at once too, or with a mark; tags and comments also end with the page.
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)""", re.S
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))"""
+    rf"""|<(/?)([a-zA-Z][^\t\n\f\r />]*+)({_PAIRS})(?:>|\Z)""",
+    re.S,
 )
-_CLASS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _MAY_HIDE = re.compile(r"hidden|style", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -107,24 +115,36 @@ class Block:
     linked: float
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), double or single or bare)
+    return found
+
+
 def _tokens(name: str, attributes: str) -> tuple[str, ...]:
     out = [f"<{name}>"]
     if "=" in attributes:
-        for _, value in _CLASS.findall(attributes):
-            out += [w.lower() for w in _NAME.findall(value)]
+        for kind, value in _attributes(attributes).items():
+            if kind in ("class", "id", "role"):
+                out += [w.lower() for w in _NAME.findall(value)]
     return tuple(out)
 
 
 def _hides(attributes: str) -> bool:
-    """Whether an element's own attributes hide it; the first of a name counts."""
+    """Whether an element's own attributes hide it."""
     if not _MAY_HIDE.search(attributes):
         return False
-    found: dict[str, str] = {}
-    for name, value in _ATTRIBUTE.findall(attributes):
-        found.setdefault(name.lower(), value.strip("\"'"))
+    found = _attributes(attributes)
     return "hidden" in found or bool(_NO_DISPLAY.search(html.unescape(found.get("style", ""))))
 
 
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\t\n\f\r />]){_PAIRS}>", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order; white space inside each is one blank.
 
@@ -207,7 +227,7 @@ def blocks(page: str) -> list[Block]:
         if foreign and tag[3].endswith("/"):
             continue
         if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*+>", re.I).search(page, at)
+            end = _raw_end(name).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in _P_ENDS:
