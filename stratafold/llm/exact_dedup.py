@@ -88,12 +88,14 @@ def keep_exact(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha256"))
         .agg((F.count("*") > 1).alias("_repeated"))
     )
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     bare = F.translate(text_of(), WHITE, "")
-    held = docs.withColumn("_own_sha256", F.sha2(bare.cast("binary"), 256))
-    same = held.doc_id.eqNullSafe(winners["_keep"]) & (held["_own_sha256"] == winners["_sha256"])
-    held = staged(held.join(winners, same), "kept-rows")
+    # The columns of the documents travel in a struct, so that their names cannot clash.
+    held = docs.select(columns.alias("row"), "doc_id", F.sha2(bare.cast("binary"), 256).alias("own_sha256"))
+    same = held["doc_id"].eqNullSafe(winners["_keep"]) & (held["own_sha256"] == winners["_sha256"])
+    held = staged(held.join(winners, same).drop("doc_id", "own_sha256"), "kept-rows")
     # Of rows that share id and digest the longest text, then the first by content.
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rank = F.struct(-F.char_length(text_of()), text_of(), F.to_json(F.struct(*columns)))
-    one = held.filter("_repeated").groupBy("_keep", "_sha256").agg(F.min_by(F.struct(*columns), rank).alias("_row"))
-    return held.filter("not _repeated").select(*columns).unionByName(one.select("_row.*"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    rank = F.struct(-F.char_length(text), text, F.to_json("row"))
+    one = held.filter("_repeated").groupBy("_keep", "_sha256").agg(F.min_by("row", rank).alias("row"))
+    return held.filter("not _repeated").select("row").unionByName(one.select("row")).select("row.*")

@@ -40,6 +40,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_SOURCES = 100_000
 LEVELS = 7  # digits of 8 bits: four of the id's hash, three that part the rows of one id
 BLOCKS = 256
+OUTPUT = ("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def words_in(column) -> F.Column:
@@ -83,16 +84,20 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return leaves
 
 
-def _placed(docs: DataFrame, seed: int) -> DataFrame:
-    """_source sorts like the source by code point, null last; _turn is the place on the ring."""
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")),
-            "_turn": F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 32), 24).bitwiseOR(
-                F.shiftrightunsigned(F.xxhash64("doc_id", text_of(), F.lit(seed)), 40)
-            ),
-            "_size": words_in(text_of()),
-        }
+def _placed(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, _source, _turn, _size, and ``row`` with the carried columns.
+
+    _source sorts like the source by code point, null last; _turn is the place on the ring.
+    """
+    checked(docs, "doc_id", "text", "source", *carry)
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("_source"),
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 32), 24)
+        .bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", text_of(), F.lit(seed)), 40))
+        .alias("_turn"),
+        words_in(text_of()).alias("_size"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []),
     )
 
 
@@ -161,10 +166,29 @@ def mix(
     """doc_id, size, source_size, target, taken and ``copies`` for every row.
 
     ``copies`` lists what the mix draws of the document: words, shard, and the key that
-    orders its shard.  ``carry`` names columns to keep.  ``whole`` draws whole documents only.
+    orders its shard.  ``carry`` names columns to keep, none of them called like those.
+    ``whole`` draws whole documents only.
     """
+    carry = tuple(dict.fromkeys(c for c in carry if c != "doc_id"))
+    if set(OUTPUT) & {c.lower() for c in carry}:
+        raise ValueError(f"columns called like those of the mix: {OUTPUT}")
+    drawn = _drawn(docs, weights, share, cap, shards, seed, carry, whole)
+    return drawn.select(*OUTPUT, *[F.col("row").getField(c).alias(c) for c in carry])
+
+
+def _drawn(
+    docs: DataFrame,
+    weights: tuple[float, ...] = WEIGHTS,
+    share: float = 1.5,
+    cap: float = 2.0,
+    shards: int = 64,
+    seed: int = 17,
+    carry: tuple[str, ...] = (),
+    whole: bool = False,
+) -> DataFrame:
+    """The columns of ``mix`` and a struct ``row`` of the carried ones, whatever their names."""
     spark = docs.sparkSession
-    docs = _placed(checked(docs, *dict.fromkeys(("doc_id", "text", "source", *carry))), seed)
+    docs = _placed(docs, seed, carry)
     sized = staged(docs.select("_source", "_turn", "_size"), "mix-sizes")
     totals = sized.groupBy("_source").agg(F.sum("_size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -222,36 +246,45 @@ def mix(
         "target",
         (F.col("passes") * F.col("_size") + F.col("extra")).alias("taken"),
         "copies",
-        *[c for c in carry if c != "doc_id"],
+        *(["row"] if carry else []),
     )
 
 
-def dealt(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
-    """The columns of ``docs``, _shard and _order: one row for each copy, shard by shard.
-
-    A shard fills one partition or, with more shuffle partitions than shards, several in a
-    row, each a range of _order and sorted by it.
-    """
+def _laid(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
+    """shard, turn and ``row``, the columns of ``docs`` in a struct: one row for each copy, shard by shard."""
     columns = docs.columns
-    drawn = mix(docs, carry=tuple(columns), shards=shards, **options).withColumn("_copy", F.explode("copies"))
+    drawn = _drawn(docs, carry=tuple(columns), shards=shards, **options).select("size", F.explode("copies").alias("copy"), "row")
+    own = F.col("row.text")
     first = F.array_join(
         F.slice(
-            F.regexp_extract_all(text_of(), F.lit(r"([^\x20\x09-\x0D]+)"), 1),
+            F.regexp_extract_all(F.coalesce(own, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), 1),
             1,
-            F.col("_copy.words").cast("int"),
+            F.col("copy.words").cast("int"),
         ),
         " ",
     )
-    text = F.when(F.col("_copy.words") >= F.col("size"), F.col("text")).otherwise(first)
-    drawn = drawn.withColumn("text", text)
+    changed = {"text": F.when(F.col("copy.words") >= F.col("size"), own).otherwise(first)}
     if "n_chars" in columns:
-        drawn = drawn.withColumn("n_chars", F.char_length("text").cast("long"))
-    drawn = drawn.select(*columns, F.col("_copy.shard").alias("_shard"), F.col("_copy.turn").alias("_order"))
+        changed["n_chars"] = F.char_length(changed["text"]).cast("long")
+    row = F.struct(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+    drawn = drawn.select(F.col("copy.shard").alias("shard"), F.col("copy.turn").alias("turn"), row.alias("row"))
     slices = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
-    # The upper 31 bits, from 0: the lowest range of _order is the first slice.
-    part = (F.shiftright("_order", 33) + F.lit(1 << 30)) * F.lit(slices)
-    place = F.col("_shard") * F.lit(slices) + F.shiftright(part, 31)
-    return drawn.repartitionById(shards * slices, place.cast("int")).sortWithinPartitions("_shard", "_order")
+    # The upper 31 bits, from 0: the lowest range of turn is the first slice.
+    part = (F.shiftright("turn", 33) + F.lit(1 << 30)) * F.lit(slices)
+    place = F.col("shard") * F.lit(slices) + F.shiftright(part, 31)
+    return drawn.repartitionById(shards * slices, place.cast("int")).sortWithinPartitions("shard", "turn")
+
+
+def dealt(docs: DataFrame, shards: int = 64, **options) -> DataFrame:
+    """The columns of ``docs``, _shard and _order: one row for each copy, shard by shard.
+
+    A shard fills one partition or, with more shuffle partitions than shards, several in a
+    row, each a range of _order and sorted by it.  Columns of ``docs`` with these two names
+    are an error; ``mixed`` takes them.
+    """
+    if {"_shard", "_order"} & set(docs.columns):
+        raise ValueError("columns _shard and _order are given by dealt")
+    return _laid(docs, shards, **options).select("row.*", F.col("shard").alias("_shard"), F.col("turn").alias("_order"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -260,4 +293,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     Without ``whole``, the one document at which a source meets its target keeps its first
     words only.
     """
-    return dealt(docs, **options).select(*docs.columns)
+    return _laid(docs, **options).select("row.*")

@@ -61,6 +61,16 @@ class TestExact:
         assert kept.columns == docs.columns
         assert exact_dedup.exact_dedup(nothing).count() == 0
 
+    def test_columns_called_like_helpers(self, spark, nothing):
+        names = "row own_sha256 _own_sha256 _keep _sha256 _repeated text_sha256 chars kept keep_id group_size heavy_sha256".split()
+        rows = [(k // 2, "t" * (k // 4), *[f"{n}{k}" for n in names]) for k in range(24)]
+        some = spark.createDataFrame(rows, ["doc_id", "text", *names])
+        out = exact_dedup.keep_exact(some)
+        assert out.columns == some.columns
+        found = sorted(tuple(r) for r in out.collect())
+        assert [r[1] for r in found] == ["t" * n for n in range(6)] and all(r in rows for r in found)
+        assert exact_dedup.keep_exact(nothing).count() == 0
+
     def test_one_row_of_each_group_stays(self, spark, docs):
         more = [(30, "a b", 1), (30, "c", 2), (31, "ab", 3), (31, "c", 4), (32, "d e", 5), (32, "de", 6), (None, "f", 7), (None, "f", 8)]
         df = spark.createDataFrame(more, "doc_id long, text string, n long")
@@ -345,6 +355,21 @@ class TestMixing:
             rows = mixing.mix(same, carry=("source",), whole=True).filter(F.col("source") == part).collect()
             assert abs(sum(r.taken for r in rows) - rows[0].target) <= 2
 
+    def test_columns_called_like_helpers(self, spark, nothing):
+        names = "size taken target source_size copies copy row shard turn words extra passes rest _source _size _turn _stop _left _here _shard _order".split()
+        rows = [(k, f"a b w{k}", f"s{k % 3}", *[f"{n}{k}" for n in names]) for k in range(60)]
+        some = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+        plain = mixing.mixed(some.select("doc_id", "text", "source"), whole=True)
+        out = mixing.mixed(some, whole=True)
+        assert out.columns == some.columns
+        found = out.collect()
+        assert all(tuple(r) == rows[r.doc_id] for r in found)
+        assert counted((r.doc_id,) for r in found) == counted((r.doc_id,) for r in plain.collect())
+        assert mixing.mix(some).count() == 60 and mixing.mixed(nothing).count() == 0
+        for refused in (lambda: mixing.dealt(some), lambda: mixing.mix(some, carry=("taken",))):
+            with pytest.raises(ValueError):
+                refused()
+
     def test_registered_mix_cuts_no_text(self, spark, sf_dir):
         import corpus_pipeline
 
@@ -559,9 +584,38 @@ class TestPages:
     def test_unseen_elements_end_as_in_browsers(self, page, want):
         assert [b.text for b in html_text.blocks(page)] == want
 
+    @pytest.mark.parametrize(
+        "page, want",
+        [
+            ("<!--><p>Article</p>", ["Article"]),
+            ("<!---><p>Article</p>", ["Article"]),
+            ("<!----><p>Article</p>", ["Article"]),
+            ("<!-- a --!><p>Article</p>", ["Article"]),
+            ("<!---!><p>a</p>--><p>b</p>", ["b"]),
+            ("<p>a</p><!-- open <p>b</p>", ["a"]),
+            ("<p data-x=it's>Hello</p><p>don't</p><p>c</p>", ["Hello", "don't", "c"]),
+            ("<p data-x=it's>Hello</p><p>b</p>", ["Hello", "b"]),
+            ("<p a='1''>one</p><p>two</p>", ["one", "two"]),
+            ("<p a=\"x>y\" b='<p>'>one</p>", ["one"]),
+            ("<p a = '1' b= hidden =c>one</p>", ["one"]),
+            ("<p title=' hidden '>one</p><p class=x hidden>two</p><p>three</p>", ["one", "three"]),
+            ("<p>one</p><p title='open>two</p>", ["one"]),
+            ("<p>one</p><a href=x", ["one"]),
+            ("<p>1 < 2 and 3 <4</p></><p>b</p></3 x><p>c</p>", ["1 < 2 and 3 <4", "b", "c"]),
+            ("<script a='</script>'>x</scripts> y</script ><p>a</p>", ["a"]),
+            ("<p>one</p>" + "<p a='" * 20_000, ["one"]),
+        ],
+    )
+    def test_attributes_and_comments_end_as_in_browsers(self, page, want):
+        assert [b.text for b in html_text.blocks(page)] == want
+
+    def test_only_names_of_attributes_count(self):
+        path = html_text.blocks("<div data-class='nav' CLASS='story' class='menu' title='id=footer'>text</div>")[0].path
+        assert path == ("<div>", "story")
+
 
 def test_registry_covers_all():
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in registry.QUERIES) == list(range(1, 14))
 
 
 def test_exact_dedup_equals_its_statement(spark, sf_dir):
