@@ -207,6 +207,58 @@ AUDIT = "check_name, severity, status, metric_value, threshold_value, batch_id"
 DETAILS = ("check_name, check_type, severity, status, table_name, metric_value, threshold_value, "
            "details, batch_id")
 
+# Events and customers with faults, under the names that the report reads.
+FAULTY = f"""{EVENTS.replace("ev AS", "sound AS")},{PLANS.replace("plans AS", "every AS")},
+late AS (
+  SELECT event_id, customer_id, CASE WHEN event_type = 'login' THEN 'sign_up' ELSE event_type END AS event_type,
+         occurred_at, strftime(occurred_at + INTERVAL 4 DAY, '%Y-%m-%d') AS batch_id
+  FROM sound
+),
+ev AS (SELECT * FROM late UNION ALL SELECT * FROM late WHERE batch_id = '2024-01-20'),
+plans AS (
+  SELECT customer_id, CASE WHEN right(customer_id, 1) = '7' THEN 'gold' ELSE plan END AS plan FROM every
+  WHERE right(customer_id, 1) <> '3' AND right(customer_id, 2) <> '17'
+)"""
+
+
+def marts(until: str, history: str) -> str:
+    """Rows of the three marts over the feed before a day, with versions of customers."""
+    return f"""
+seen AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY updated_at DESC) AS r
+                 FROM feed WHERE updated_at < TIMESTAMP '{until}') WHERE r = 1
+),
+known AS (
+  SELECT s.*, h.plan FROM seen s JOIN {history} h
+  ON s.customer_id = h.customer_id AND s.occurred_at BETWEEN h.valid_from AND h.valid_to
+),
+top AS (
+  SELECT k.customer_id || '|' || c_name || '|' || k.plan || '|' || c_mktsegment AS key, k.customer_id, k.plan, count(*) AS n
+  FROM known k JOIN customer ON CAST(c_custkey AS VARCHAR) = k.customer_id
+  WHERE occurred_at >= (SELECT max(occurred_at) - INTERVAL 30 DAY FROM seen)
+  GROUP BY ALL ORDER BY n DESC, k.customer_id, k.plan LIMIT 10
+),
+{MATCHED.format(events="seen")},
+{RESPONSE.format(customers=history, on="m.customer_id = c.customer_id AND m.occurred_at BETWEEN c.valid_from AND c.valid_to")},
+cohorts AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS customer_id, strftime(min(o_orderdate), '%Y-%m') AS cohort FROM orders
+  WHERE o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1
+),
+active AS (
+  SELECT cohort, strftime(occurred_at, '%Y-%m') AS month, count(DISTINCT s.customer_id) AS n
+  FROM cohorts c JOIN seen s ON c.customer_id = s.customer_id GROUP BY 1, 2
+),
+sizes AS (SELECT cohort, count(*) AS n FROM cohorts GROUP BY 1),
+marts AS (
+  SELECT 'top' AS mart, key, n, CAST(NULL AS BIGINT) AS of, CAST(NULL AS DOUBLE) AS value FROM top
+  UNION ALL
+  SELECT 'response', plan || '|' || month, answered_tickets, unanswered_tickets, avg_response_minutes FROM response
+  UNION ALL
+  SELECT 'retention', a.cohort || '|' || month, a.n, s.n, CAST(round(100.0 * a.n / s.n, 2) AS DOUBLE)
+  FROM active a JOIN sizes s ON a.cohort = s.cohort
+)"""
+
+
 UTC = "'%Y-%m-%dT%H:%M:%S.%fZ'"
 HIGH_WATER = f"""
 SELECT 'events' AS source, strftime(max(ts), {UTC}) AS last_updated_at FROM events
@@ -425,4 +477,28 @@ ORACLES = {
     "history_by_bucket": f"""WITH {CUSTOMER_HISTORY}
       SELECT customer_id, plan, valid_from, strftime(valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to, valid_to = {END} AS is_current
       FROM customer_history""",
+    "faulty_report": f"WITH {FAULTY} SELECT {DETAILS} FROM ({report('2024-01-20')})",
+    "faulty_log": f"""WITH {FAULTY}
+      SELECT {AUDIT} FROM ({report('2024-01-20')} UNION ALL {report('2024-01-24')}) WHERE status = 'FAILED'""",
+    "faulty_blocking": f"""WITH {FAULTY} SELECT check_name FROM ({report('2024-01-20')})
+      WHERE status = 'FAILED' AND severity = 'BLOCKING'""",
+    "gated_marts": f"""WITH {FEED},{CUSTOMER_HISTORY},{marts('2024-01-31', 'customer_history')}
+      SELECT * FROM marts""",
+    "blocked_run": f"""WITH {FEED},{PLANS},
+      first_versions AS (SELECT customer_id, plan, TIMESTAMP '2024-01-01' AS valid_from, {END} AS valid_to FROM plans),
+      {marts('2024-01-16', 'first_versions')}
+      SELECT *, 'event_freshness' AS stopped_by FROM marts""",
+    "faulty_lines": f"""WITH {EVENTS}, lines AS (
+        SELECT *, CAST(event_id AS BIGINT) % 4 AS turn, CAST(event_id AS BIGINT) % 4 = 1 AS broken FROM ev)
+      SELECT zone, CASE WHEN NOT broken THEN event_id END AS event_id, CASE WHEN NOT broken THEN channel END AS channel,
+             CASE turn WHEN 0 THEN 'one' WHEN 2 THEN 'two' END AS source_app,
+             CASE WHEN NOT broken THEN ticket_id END AS ticket_id,
+             CASE WHEN broken THEN '{{"event_id": "' || event_id END AS line
+      FROM lines, (VALUES ('bronze'), ('quarantine')) z(zone) WHERE zone = 'bronze' OR broken""",
+    "flag_as_text": """
+      SELECT CAST(c_custkey AS VARCHAR) AS customer_id, updated_at,
+             CASE WHEN c_acctbal >= 0 THEN 'true' ELSE 'false' END AS is_active, '2024-01-20' AS _batch_id,
+             'raw/customers/' AS _source_file
+      FROM customer, (VALUES ('2024-01-01T00:00:00.000000Z'), ('2024-01-16T00:00:00.000000Z')) v(updated_at)
+      WHERE updated_at < '2024-01-10' OR c_acctbal < 0""",
 }

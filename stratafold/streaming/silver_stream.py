@@ -18,16 +18,23 @@ from stratafold.functions import lineage
 from stratafold.operators.dedup import null_key_rows
 from stratafold.plans.silver import quarantine, typed_events, upsert_events
 from stratafold.schemas import RAW_EVENTS
+from stratafold.sources.landing import CORRUPT
 from stratafold.sources.layers import TEXT_TIMESTAMPS, Layers
 
 
 def raw_stream(
     spark: SparkSession, folder: str, schema: T.StructType, max_files: int | None = None
 ) -> DataFrame:
-    options: dict[str, str] = {"recursiveFileLookup": "true", **TEXT_TIMESTAMPS}
+    """Lines that are no JSON object keep their text in ``_corrupt_record``."""
+    options: dict[str, str] = {
+        "recursiveFileLookup": "true",
+        "columnNameOfCorruptRecord": CORRUPT,
+        **TEXT_TIMESTAMPS,
+    }
     if max_files:
         options["maxFilesPerTrigger"] = str(max_files)
-    return spark.readStream.schema(schema).options(**options).json(folder)
+    wide = T.StructType([*schema, T.StructField(CORRUPT, T.StringType(), True)])
+    return spark.readStream.schema(wide).options(**options).json(folder)
 
 
 def run_available(
