@@ -11,6 +11,7 @@ import logging
 
 from pyspark.sql import SparkSession
 
+from stratafold.plans.activity import refresh
 from stratafold.plans.aliases import create_views
 from stratafold.plans.bronze import load_bronze
 from stratafold.plans.gate import run_gate
@@ -32,6 +33,7 @@ STEPS = (
     "silver-customers",
     "quality",
     "marts",
+    "activity",
     "run",
     "backfill",
     "counts",
@@ -92,6 +94,9 @@ def execute(spark: SparkSession, args: argparse.Namespace) -> None:
         else:
             create_views(layers)
         return
+    if step == "activity":
+        refresh(layers)
+        return
     if len(args.batch) != 1:
         raise SystemExit(f"{step} needs exactly one --batch")
     if step in ("ingest", "run") and not (args.events_landing and (args.customers_landing or args.customers_jdbc)):

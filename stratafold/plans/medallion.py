@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.plans import marts
+from stratafold.plans import activity, marts
 from stratafold.plans.bronze import load_bronze
 from stratafold.plans.gate import run_gate
 from stratafold.plans.silver import load_silver_customers, load_silver_events
@@ -21,14 +21,19 @@ logger = logging.getLogger(__name__)
 
 
 def build_marts(layers: Layers, bounds: str = "closed") -> None:
-    """Rebuild the three marts from all of Silver."""
+    """Rebuild the three marts from all of Silver; retention from its state where that is kept."""
     layers.recover("silver.events", "silver.customers")
     events = layers.read("silver.events", physical=True)
     customers = layers.read("silver.customers")
+    if activity.kept(layers):
+        activity.refresh(layers)
+        retention = activity.retention(layers)
+    else:
+        retention = marts.cohort_retention(events, customers)
     built: dict[str, DataFrame] = {
         "gold.top_customers_30d": marts.top_customers(events, customers, bounds=bounds),
         "gold.response_time": marts.response_time(events, customers, bounds=bounds),
-        "gold.cohort_retention": marts.cohort_retention(events, customers),
+        "gold.cohort_retention": retention,
     }
     for table, mart in built.items():
         layers.create(table)

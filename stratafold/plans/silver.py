@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import logging
+import uuid
+from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -94,9 +98,37 @@ def upsert_events(layers: Layers, batch: DataFrame, broadcast_bytes: int = BROAD
         return
     kept_days = target.filter(F.col(EVENT_DATE).isin(touched))
     merged = newest_wins(kept_days, batch, ["event_id"], "updated_at", broadcast_bytes)
+    if layers.exists("state.active_customers"):
+        note_changed_days(layers, touched)
     layers.swap_partitions(table, merged, touched)
 
 
+def _changed_days(layers: Layers) -> str:
+    return f"{layers.root}/control/changed_days"
+
+
+def note_changed_days(layers: Layers, days: Iterable[date]) -> None:
+    """Tell the state that is kept by day which days are about to change."""
+    text = json.dumps([str(day) for day in days])
+    files.write_text(layers.spark, f"{_changed_days(layers)}/{uuid.uuid4().hex}", text)
+
+
+def changed_days(layers: Layers) -> dict[str, list[date]]:
+    """Notes of changed days that no state has taken up, by name; half-written ones preceded no change."""
+    notes = {}
+    for name in files.names(layers.spark, _changed_days(layers)):
+        if name.endswith(".half"):
+            continue
+        days = json.loads(files.read_text(layers.spark, f"{_changed_days(layers)}/{name}") or "[]")
+        notes[name] = [date.fromisoformat(day) for day in days]
+    return notes
+
+
+def forget_changed_days(layers: Layers, names: Iterable[str]) -> None:
+    for name in names:
+        files.delete(layers.spark, f"{_changed_days(layers)}/{name}")
+
+
 def load_silver_events(layers: Layers, batch_id: str, null_keys: str = "quarantine") -> None:
     """Upsert the events of a batch.
 

@@ -377,6 +377,16 @@ ORACLES = {
     "delivery_response_pct": f"{FIRST_RESPONSE} {WITH_PCT}",
     "cohort_retention": RETENTION,
     "delivery_retention": RETENTION,
+    "retention_kept": f"""WITH {EVENTS},
+      spread AS (SELECT event_type, customer_id, occurred_at + to_months(CAST(CAST(event_id AS BIGINT) % 3 AS INTEGER)) AS moment FROM ev),
+      activity AS (SELECT DISTINCT customer_id, strftime(CASE WHEN event_type = 'purchase' THEN moment + INTERVAL 2 MONTH ELSE moment END, '%Y-%m') AS activity_month
+                   FROM spread WHERE event_type <> 'page_view'),
+      cohorts AS (SELECT CAST(o_custkey AS VARCHAR) AS customer_id, strftime(min(o_orderdate), '%Y-%m') AS cohort_month
+                  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+      sizes AS (SELECT cohort_month, count(*) AS cohort_customers FROM cohorts GROUP BY 1)
+      SELECT cohort_month, activity_month, cohort_customers, count(*) AS active_customers,
+             CAST(round(100.0 * count(*) / cohort_customers, 2) AS DOUBLE) AS retention_pct
+      FROM cohorts JOIN activity USING (customer_id) JOIN sizes USING (cohort_month) GROUP BY 1, 2, 3""",
     "events_by_month_type": """
       SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS events,
              count(DISTINCT user_id) AS users, round(avg(value), 6) AS avg_value

@@ -34,7 +34,7 @@ from stratafold.plans import delivery, marts
 from stratafold.plans.gate import log_results
 from stratafold.plans.medallion import backfill, run_batch
 from stratafold.plans.silver import held_days, load_silver_customers, load_silver_events, with_day
-from stratafold.registry import faults
+from stratafold.registry import faults, kept
 from stratafold.registry import fixtures as fx
 from stratafold.session import new_folder, staged
 from stratafold.sources import landing
@@ -642,4 +642,4 @@ QUERIES = {
     "insert_if_absent": insert_absent,
     "high_water_mark": high_water,
     "export_delimited": export_mart,
-} | faults.QUERIES
+} | faults.QUERIES | kept.QUERIES

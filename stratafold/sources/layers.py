@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafold.functions import canonical_order
-from stratafold.schemas import BUCKET, BUCKETED, EVENT_DATE, LAYERS, TABLES
+from stratafold.schemas import ALL_TABLES, BUCKET, BUCKETED, EVENT_DATE, LAYERS, TABLES
 from stratafold.sources import files
 
 
@@ -57,7 +57,7 @@ class Layers:
     def create(self, table: str) -> None:
         """Create a table from its schema constant, and its namespace, if absent."""
         self.create_namespace(table.split(".")[0])
-        schema, partitions, kind = TABLES[table]
+        schema, partitions, kind = ALL_TABLES[table]
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         by = f"PARTITIONED BY ({', '.join(partitions)})" if partitions else ""
         options = "OPTIONS (compression 'snappy')" if kind == "parquet" else ""
@@ -81,7 +81,7 @@ class Layers:
         ``physical=True`` keeps the day or bucket column that a table is stored by.
         """
         df = self.spark.table(self.name(table))
-        known = TABLES[table][0].fieldNames()
+        known = ALL_TABLES[table][0].fieldNames()
         df = df.select(*canonical_order(df.columns, known))
         return df if physical else df.drop(EVENT_DATE, BUCKET)
 
@@ -99,7 +99,7 @@ class Layers:
         """
         if not re.fullmatch(r"[0-9A-Za-z_.-]+", batch_id):
             raise ValueError(f"batch id: {batch_id!r}")
-        known = TABLES[table][0].fieldNames()
+        known = ALL_TABLES[table][0].fieldNames()
         self._add_columns(table, df)
         folder = self._new_folder(table)
         ordered = df.select(*canonical_order(df.columns, known)).drop("_batch_id")
@@ -122,7 +122,7 @@ class Layers:
         if table in BUCKETED:
             buckets = range(self._buckets(table))
             return self.swap_partitions(table, self.bucketed(table, df), buckets)
-        schema, _, kind = TABLES[table]
+        schema, _, kind = ALL_TABLES[table]
         folder = self._new_folder(table)
         df.select(*schema.fieldNames()).write.format(kind).save(folder)
         self.spark.sql(f"ALTER TABLE {self.name(table)} SET LOCATION '{folder}'")
@@ -144,7 +144,7 @@ class Layers:
         partitions only.  Large partitions are split over several files and small
         ones are not shredded: the layout is left to adaptive rebalancing.
         """
-        schema, (column,), kind = TABLES[table]
+        schema, (column,), kind = ALL_TABLES[table]
         folder = self._new_folder(table)
         laid_out = df.select(*schema.fieldNames()).hint("rebalance", column)
         laid_out.write.format(kind).partitionBy(column).save(folder)
@@ -191,7 +191,7 @@ class Layers:
         folder = f"{self.root}/{table.replace('.', '/')}"
         rows = self.spark.sql(f"DESCRIBE EXTENDED {self.name(table)}").filter("col_name = 'Location'").collect()
         used = " ".join(r["data_type"] for r in rows)
-        if TABLES[table][1]:
+        if ALL_TABLES[table][1]:
             parts = self.spark.sql(f"SHOW PARTITIONS {self.name(table)}").collect()
             specs = [dict(p.split("=", 1) for p in r[0].split("/")) for r in parts]
             for spec in specs:
@@ -204,7 +204,7 @@ class Layers:
         return sorted(gone)
 
     def append(self, table: str, df: DataFrame) -> None:
-        df.select(*TABLES[table][0].fieldNames()).write.insertInto(self.name(table))
+        df.select(*ALL_TABLES[table][0].fieldNames()).write.insertInto(self.name(table))
 
     def _point_partitions(self, table: str, places: list[tuple[dict, str]]) -> None:
         """Point partitions to their new folders; the new ones are added in one step."""
