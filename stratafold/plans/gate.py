@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators import quality
+from stratafold.plans import activity
 from stratafold.session import staged
 from stratafold.sources.layers import Layers
 
@@ -31,7 +32,11 @@ def log_results(layers: Layers, rows: DataFrame) -> None:
 def run_gate(layers: Layers, batch_id: str) -> DataFrame:
     """Run all checks, log all of them, then raise if a blocking one failed."""
     layers.recover("silver.events", "silver.customers")
-    found = quality.report(layers.read("silver.events"), layers.read("silver.customers"), batch_id)
+    profile = None
+    if activity.kept(layers):
+        activity.refresh(layers)
+        profile = activity.batch_profiles(layers)
+    found = quality.report(layers.read("silver.events"), layers.read("silver.customers"), batch_id, profile)
     rows = staged(found, "checks")
     log_results(layers, rows)
     # Five rows.

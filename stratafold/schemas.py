@@ -120,10 +120,12 @@ LAYERS = ("control", "bronze", "silver", "gold", "quality")
 
 CUSTOMER_NUMBERS = _struct(("customer_id", STRING), ("number", LONG))
 ACTIVE_CUSTOMERS = _struct(("month", DAY), ("slot", LONG), ("bits", T.BinaryType()), (EVENT_DATE, DAY))
+BATCH_PROFILES = _struct(("batch", STRING), ("rows", LONG), ("illegal", LONG), ("newest", TS), (EVENT_DATE, DAY))
 
 # Kept between runs so that marts need not read old events; not among the tables that are inspected.
 STATE_TABLES: dict[str, tuple[T.StructType, tuple[str, ...], str]] = {
     "state.customer_numbers": (CUSTOMER_NUMBERS, (), "parquet"),
+    "state.batch_profiles": (BATCH_PROFILES, (EVENT_DATE,), "parquet"),
     "state.active_customers": (ACTIVE_CUSTOMERS, (EVENT_DATE,), "parquet"),
 }
 ALL_TABLES = TABLES | STATE_TABLES

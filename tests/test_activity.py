@@ -6,18 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratafold.functions import lineage
-from stratafold.operators import bitmaps
+from stratafold.operators import bitmaps, quality
 from stratafold.plans import activity, marts
+from stratafold.plans.gate import run_gate
 from stratafold.plans.medallion import build_marts
 from stratafold.plans.silver import changed_days, upsert_events
 from stratafold.schemas import SILVER_CUSTOMERS, SILVER_EVENTS
 from tests.conftest import rows
 
 
-def batch(spark, *data):
+def batch(spark, *data, day="2026-09-01"):
     """(event_id, customer_id, occurred_at, updated_at), days as text."""
     df = spark.createDataFrame(list(data), "event_id string, customer_id string, occurred_at string, updated_at string")
-    df = df.withColumns(lineage("2026-09-01", "events")).withColumn("_customer_exists", F.col("customer_id").isNotNull())
+    df = df.withColumns(lineage(day, "events")).withColumn("_customer_exists", F.col("customer_id").isNotNull())
     more = {c: F.lit("x") for c in ("event_type", "channel", "properties")}
     return df.withColumns(more).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SILVER_EVENTS])
 
@@ -36,6 +37,7 @@ def check(layers):
     layers.recover("silver.events")
     full = marts.cohort_retention(layers.read("silver.events"), layers.read("silver.customers"))
     assert rows(activity.retention(layers), *full.columns) == rows(full)
+    assert rows(activity.batch_profiles(layers)) == rows(quality.batch_profile(layers.read("silver.events")))
     return full.count()
 
 
@@ -132,3 +134,25 @@ def test_marts_take_retention_from_the_state_where_it_is_kept(spark, layers, mon
     monkeypatch.setattr(marts, "cohort_retention", lambda *_: pytest.fail("read all events"))
     build_marts(layers)
     assert rows(layers.read("gold.cohort_retention").drop("_generated_at")) == expected
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 40])
+def test_a_stored_profile_gives_the_same_summary(spark, n):
+    data = [(f"2026-{1 + i // 28:02d}-{1 + i % 28:02d}", 7 * i % 11, i % 2, None if i == 2 else f"2026-01-{1 + i % 28:02d}") for i in range(n)]
+    data += [(None, 5, 1, None)] * (n > 2)
+    profile = spark.createDataFrame(data, "batch string, rows long, illegal long, newest string")
+    profile = profile.withColumn("newest", F.col("newest").cast("timestamp"))
+    for day in ("2026-01-03", "2026-02-12", "2025-01-01"):
+        assert rows(quality.batch_summary(profile, day, stored=True)) == rows(quality.batch_summary(profile, day))
+
+
+def test_the_gate_takes_profiles_from_the_state_where_it_is_kept(spark, layers, monkeypatch):
+    customers(spark, layers, *CUSTOMERS)
+    activity.refresh(layers)
+    upsert_events(layers, batch(spark, *FIRST, day="2026-02-11"))
+    # The correction takes e9 into the later batch.
+    upsert_events(layers, batch(spark, ("e9", "c2", "2026-02-11", "2026-02-12"), day="2026-02-12"))
+    expected = rows(quality.report(layers.read("silver.events"), layers.read("silver.customers"), "2026-02-12"))
+    monkeypatch.setattr(quality, "batch_profile", lambda *_: pytest.fail("read all events"))
+    monkeypatch.setattr(quality, "blocking_failures", lambda df: df.limit(0).select("check_name"))
+    assert rows(run_gate(layers, "2026-02-12")) == expected
