@@ -17,10 +17,12 @@ HALF = "2024-01-16"
 
 def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Two halves of the events, spread over three months, then corrections: purchases move
-    on by two months, and views lose their customer."""
+    on by two months, and views lose their customer.  The batch of a row is the day of its
+    version; logins have no legal type."""
     events = fx.silver_events(spark, sf_dir)
     spread = F.col("occurred_at") + F.make_interval(months=(F.col("event_id").cast("long") % 3).cast("int"))
-    events = events.withColumn("occurred_at", spread).withColumns(lineage("2024-01-20", "events"))
+    kind = F.when(F.col("event_type") == "login", "sign_up").otherwise(F.col("event_type"))
+    events = events.withColumns({"occurred_at": spread, "event_type": kind}).withColumns(lineage("2024-01-20", "events"))
     purchase = F.col("event_type") == "purchase"
     late = events.filter(purchase | (F.col("event_type") == "page_view")).withColumns(
         {
@@ -32,7 +34,9 @@ def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     )
     early = F.col("updated_at") < F.lit(HALF)
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SILVER_EVENTS]
-    return [df.select(*columns) for df in (events.filter(early), events.filter(~early), late)]
+    batch = F.date_format("updated_at", "yyyy-MM-dd")
+    parts = (events.filter(early), events.filter(~early), late)
+    return [df.withColumn("_batch_id", batch).select(*columns) for df in parts]
 
 
 def _customers(spark: SparkSession, sf_dir: str, layers: Layers) -> None:
@@ -44,14 +48,23 @@ def _customers(spark: SparkSession, sf_dir: str, layers: Layers) -> None:
     layers.swap("silver.customers", rows.select(*columns))
 
 
-def retention_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retention after three batches, of which each refreshed the days that it touched."""
+def _after_batches(spark: SparkSession, sf_dir: str) -> Layers:
+    """Layers after three batches, of which each refreshed the days that it touched."""
     layers = fx.scratch_layers(spark, "kept")
     _customers(spark, sf_dir, layers)
     for batch in _batches(spark, sf_dir):
         upsert_events(layers, batch)
         activity.refresh(layers)
-    return activity.retention(layers)
+    return layers
+
+
+def retention_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.retention(_after_batches(spark, sf_dir))
+
+
+def profiles_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = activity.batch_profiles(_after_batches(spark, sf_dir))
+    return profiles.withColumn("newest", F.col("newest").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (retention_kept,)}
+QUERIES = {f.__name__: f for f in (retention_kept, profiles_kept)}

@@ -377,6 +377,13 @@ ORACLES = {
     "delivery_response_pct": f"{FIRST_RESPONSE} {WITH_PCT}",
     "cohort_retention": RETENTION,
     "delivery_retention": RETENTION,
+    "profiles_kept": f"""WITH {EVENTS},
+      moved AS (SELECT event_type, occurred_at + to_months(CAST(CAST(event_id AS BIGINT) % 3 AS INTEGER)) AS moment,
+                       CASE WHEN event_type IN ('purchase', 'page_view') THEN updated_at + INTERVAL 5 DAY ELSE updated_at END AS version
+                FROM ev)
+      SELECT strftime(version, '%Y-%m-%d') AS batch, count(*) AS rows, count(*) FILTER (WHERE event_type = 'login') AS illegal,
+             max(CASE WHEN event_type = 'purchase' THEN moment + INTERVAL 2 MONTH ELSE moment END) AS newest
+      FROM moved GROUP BY 1""",
     "retention_kept": f"""WITH {EVENTS},
       spread AS (SELECT event_type, customer_id, occurred_at + to_months(CAST(CAST(event_id AS BIGINT) % 3 AS INTEGER)) AS moment FROM ev),
       activity AS (SELECT DISTINCT customer_id, strftime(CASE WHEN event_type = 'purchase' THEN moment + INTERVAL 2 MONTH ELSE moment END, '%Y-%m') AS activity_month
