@@ -32,6 +32,7 @@ def pit_join(
     hot_rows: int = HOT_ROWS,
     small_bytes: int = SMALL_BYTES,
     broadcast_bytes: int = BROADCAST_BYTES,
+    totals: str | None = None,
 ) -> DataFrame:
     """Facts joined with every version whose validity contains ``at``.
 
@@ -47,6 +48,10 @@ def pit_join(
     many ranges is listed under the few aligned blocks of 1, 2, 4, ... ranges that
     make up its span instead, and facts of its key look up one block of each size in
     use: the lists grow with the logarithm of the ranges, however much versions overlap.
+
+    With ``totals``, a column of the versions, each fact comes once with ``n``, ``least``
+    and ``greatest`` of that column over its versions, and the pairs are not made (see
+    ``_with_totals``).
     """
     if bounds not in ("closed", "half_open"):
         raise ValueError(f"bounds: {bounds}")
@@ -57,6 +62,11 @@ def pit_join(
     until = F.col(at) <= F.col(valid_to) if bounds == "closed" else F.col(at) < F.col(valid_to)
     inside = (F.col(at) >= F.col(valid_from)) & until
 
+    if totals is not None:
+        limits["broadcast_bytes"] = broadcast_bytes
+        found = _with_totals(facts, versions, key, at, valid_from, valid_to, inside, totals, many_versions, limits)
+        met = salted_join(facts, found, [key, at], how, **limits)
+        return met.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     if _plain(versions, key, many_versions, broadcast_bytes):
         return salted_join(facts, versions, keys, how, inside, broadcast_bytes=None, **limits).select(
             *fact_columns, *version_columns
@@ -88,6 +98,53 @@ def pit_join(
     return joined.drop("_fact").unionByName(alone.select(*fact_columns, *missing))
 
 
+def _with_totals(
+    facts: DataFrame,
+    versions: DataFrame,
+    key: str,
+    at: str,
+    valid_from: str,
+    valid_to: str,
+    inside: Column,
+    value: str,
+    many_versions: int,
+    limits: dict[str, int],
+) -> DataFrame:
+    """(key, at, n, least, greatest) of the facts' instants that meet a version.
+
+    Versions of one interval are added up to one span, facts of one instant are one probe.
+    Time is cut at quantiles of the starts and ends.  A span holds every instant of the
+    ranges between its first and its last one: those are added up for each block of
+    ranges, and a probe reads one row for each size of block.  Only the spans that begin
+    or end in the range of a probe are compared with it.
+    """
+    spans = versions.dropna(subset=[key, valid_from, valid_to]).groupBy(key, valid_from, valid_to)
+    spans = staged(
+        spans.agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest")), "spans"
+    )
+    probes = facts.select(key, at).dropna().distinct()
+    ends = spans.select(key, F.explode(F.array(valid_from, valid_to)).alias("_end"))
+    borders = range_borders(ends, key, "_end", many_versions, VERSIONS_PER_RANGE)
+    sums = [F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")]
+    if borders is None:
+        met = salted_join(probes, spans, [key], "inner", inside, **limits)
+    else:
+        probes = staged(add_range(probes, borders, key, {"_range": at}, **limits).drop("_hot"), "probes")
+        spans = add_range(spans, borders, key, {"_first": valid_from, "_last": valid_to}, **limits).drop("_hot")
+        spans = staged(spans.filter("_first <= _last").withColumns({c: F.col(c).cast("long") for c in ("_first", "_last")}), "spans")
+        edges = spans.withColumn("_range", F.explode(F.array_distinct(F.array("_first", "_last"))))
+        probes = probes.withColumn("_range", F.col("_range").cast("long"))
+        met = salted_join(probes, edges.drop("_first", "_last"), [key, "_range"], "inner", inside, **limits)
+        blocks = cover(F.col("_first") + 1, F.col("_last") - 1)
+        whole = spans.filter("_last - _first > 1").withColumn("_range", F.explode(blocks)).groupBy(key, "_range").agg(*sums)
+        whole = staged(whole, "blocks")
+        probes = salted_join(probes, block_sizes(whole, key), [key], "left", **limits)
+        probes = probes.withColumn("_range", F.explode(_blocks_of("_range"))).drop("_levels")
+        held = salted_join(probes, whole, [key, "_range"], "inner", **limits)
+        met = met.select(*held.columns).unionByName(held)
+    return staged(met.groupBy(key, at).agg(*sums), "totals")
+
+
 def _plain(versions: DataFrame, key: str, many_versions: int, broadcast_bytes: int) -> bool:
     """Whether all versions can be broadcast and no key has many: counted in one pass."""
     if plan_bytes(versions) > broadcast_bytes:

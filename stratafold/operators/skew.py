@@ -8,7 +8,7 @@ cut, so no task gets a whole hot key and every row is kept.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,49 +46,46 @@ def range_borders(
 
     ``borders`` are approximate quantiles of ``order``, about ``rows_per_range`` rows
     apart.  They are written once, because every later use must see the same cut
-    points.  Coarser copies, every ``_step``-th and every ``_step``²-th border, make
-    the lookup of a value short.
+    points.  A coarser copy, every ``_step``-th border, makes the lookup of a value short.
     """
     hot = hot_keys(df, [key], max_rows)
     largest = hot.agg(F.max("_rows")).first()[0]
     if largest is None:
         return None
     parts = max(2, -(-largest // (rows_per_range or max(1, max_rows // 2))))
-    step = max(2, ceil(parts ** (1 / 3)))
+    step = max(2, ceil(parts ** (1 / 2)))
     cuts = [i / parts for i in range(1, parts)]
     rows = df.select(key, order).join(hot.select(key), key, "left_semi")
     borders = rows.groupBy(key).agg(
         F.array_distinct(F.percentile_approx(order, cuts, 20 * parts)).alias("_borders")
     )
-    coarser = {
-        name: F.filter("_borders", _every(every))
-        for name, every in (("_coarse", step), ("_coarsest", step * step))
-    }
-    return staged(borders.withColumns(coarser).withColumn("_step", F.lit(step)), "borders")
+    coarse = F.filter("_borders", lambda _, i: i % step == 0)
+    return staged(borders.withColumns({"_coarse": coarse, "_step": F.lit(step)}), "borders")
 
 
 def add_range(df: DataFrame, borders: DataFrame, key: str, orders: dict[str, str], **limits: int) -> DataFrame:
     """Add, per (name, order column), the number of the key's borders at or below it.
 
-    0 for keys without borders.  Also adds ``_hot``.  The coarsest borders are
-    searched first and each finer level only inside the span found above it.
+    0 for keys without borders.  Also adds ``_hot``.  The coarse borders are searched
+    first and then the few between two of them, which are a row of their own: a row
+    never carries all borders of its key.
     """
     columns = df.columns
-    df = salted_join(df, borders, [key], "left", **{"broadcast_bytes": _STAGED_BYTES, **limits})
-    hot = F.col("_borders").isNotNull()
+    limits = {"broadcast_bytes": _STAGED_BYTES, **limits}
+    step = F.col("_step")
+    parts = F.transform(F.sequence(F.lit(0), F.size("_coarse") - 1), lambda i: F.slice("_borders", i * step + 1, step))
+    fine = borders.select(key, F.posexplode(parts).alias("_part", "_fine"))
+    df = salted_join(df, borders.select(key, "_coarse", "_step"), [key], "left", **limits)
+    hot = F.col("_coarse").isNotNull()
     for name, order in orders.items():
-        # One projection per level, so that each level is computed once.
-        df = df.withColumn("_at", F.when(hot, _upto(F.col("_coarsest"), order)))
-        for level in ("_coarse", "_borders"):
-            first = (F.col("_at") - 1) * F.col("_step")
-            span = F.slice(level, F.greatest(first, F.lit(0)) + 1, "_step")
-            df = df.withColumn("_at", F.when(F.col("_at") > 0, first + _upto(span, order)).otherwise(F.col("_at")))
-        df = df.withColumn(name, F.coalesce("_at", F.lit(0)))
-    return df.select(*columns, *orders, hot.alias("_hot"))
-
-
-def _every(n: int) -> Callable[[Column, Column], Column]:
-    return lambda _, i: i % n == 0
+        df = df.withColumn(f"_part_{name}", F.when(hot, _upto(F.col("_coarse"), order) - 1))
+    df = df.withColumn("_hot", hot).drop("_coarse")
+    for name, order in orders.items():
+        df = df.withColumnRenamed(f"_part_{name}", "_part")
+        df = salted_join(df, fine, [key, "_part"], "left", **limits)
+        found = F.col("_part") * step + _upto(F.col("_fine"), order)
+        df = df.withColumn(name, F.coalesce(F.when(F.col("_part") >= 0, found), F.lit(0))).drop("_part", "_fine")
+    return df.select(*columns, *orders, "_hot")
 
 
 def _upto(sorted_values: Column, order: str) -> Column:

@@ -177,9 +177,9 @@ def pit_join_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(names, (F.col("s_suppkey") % 6 + 1).cast("int")).alias("priority"),
         F.expr("timestamp_ntz'1992-01-01 00:00:00' + make_dt_interval(cast(s_suppkey * 7 % 2500 as int))").alias("at"),
     )
-    met = pit_join(visits, versions, "priority", "at", how="left")
+    met = pit_join(visits, versions, "priority", "at", how="left", totals="o_orderkey")
     return met.groupBy("s_suppkey").agg(
-        F.count("o_orderkey").alias("orders"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("greatest")
+        F.sum("n").alias("orders"), F.min("least").alias("least"), F.max("greatest").alias("greatest")
     )
 
 

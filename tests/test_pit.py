@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from stratafold.operators.pit import LEVEL, block_sizes, cover, listed, pit_join
 from stratafold.operators.scd2 import rebuild
-from stratafold.operators.skew import range_borders
+from stratafold.operators.skew import add_range, range_borders
 from tests.conftest import rows
 
 
@@ -118,6 +118,38 @@ def test_overlapping_versions_of_a_hot_key_against_brute_force(spark, how, bound
     assert rows(got.groupBy("n").agg(*summed)) == rows(brute.groupBy("n").agg(*summed))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("bounds", ["closed", "half_open"])
+@pytest.mark.parametrize("limits", [{}, {"many_versions": 200, "broadcast_bytes": 0, "small_bytes": 0, "hot_rows": 100}])
+def test_totals_are_those_of_the_pairs(spark, how, bounds, limits):
+    more = spark.sql("select 'hot' c, 'x' plan, timestamp_seconds(1700000000 + id * 613) valid_from, if(id = 1, null, timestamp_seconds(1700000000 + id * 613)) valid_to from range(5)")
+    versions = open_versions(spark, 4000, 5).unionByName(more).withColumn("v", F.when(F.col("plan") != "50", F.hash("plan")))
+    df = spark.range(-30, 400).selectExpr(
+        "case when id % 90 = 0 then null when id % 50 = 1 then 'none' when id % 5 = 0 then 'cold' else 'hot' end c",
+        "if(id = 7, null, timestamp_seconds(1700000000 + id * 613)) at",
+        "id k",
+    )
+    df = df.unionByName(df.filter("k % 40 = 3"))
+    got = pit_join(df, versions, "c", "at", bounds=bounds, how=how, totals="v", **limits)
+    assert got.columns == ["c", "at", "k", "n", "least", "greatest"] and got.count() <= df.count()
+    pairs = pit_join(df.distinct(), versions, "c", "at", bounds=bounds, how=how)
+    summed = pairs.groupBy("c", "at", "k").agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    assert rows(got.distinct()) == rows(summed)
+    assert got.filter("k % 40 = 3").count() == 2 * summed.filter("k % 40 = 3").count()
+
+
+def test_borders_are_looked_up_part_by_part(spark):
+    versions = open_versions(spark, 40_000, 0).select("c", "valid_from")
+    borders = range_borders(versions, "c", "valid_from", 100, 20)
+    found = add_range(versions.limit(3000), borders, "c", {"n": "valid_from"}, broadcast_bytes=0)
+    both = borders.select(F.col("c").alias("k"), "_borders")
+    brute = versions.limit(3000).join(both, F.expr("c = k"), "left")
+    expected = brute.select("c", "valid_from", F.expr("coalesce(size(filter(_borders, b -> b <= valid_from)), 0) n"))
+    assert rows(found.select("c", "valid_from", "n")) == rows(expected)
+    # A row meets the square root of all borders at each step.
+    assert borders.agg(F.max(F.size("_coarse"))).first()[0] < 60 < borders.agg(F.max(F.size("_borders"))).first()[0]
+
+
 def test_arguments_are_checked(spark):
     df, versions = facts(spark, ("c1", "2026-01-05", 1)), history(spark).select(*VERSION)
     with pytest.raises(ValueError):
