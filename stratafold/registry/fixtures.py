@@ -98,11 +98,16 @@ def _renamed(column: str, names: dict[str, str]) -> Column:
     return pairs[F.col(column)]
 
 
-def silver_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in Silver columns; the batch is the day, tickets are (user, k)."""
+def silver_events(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Events in Silver columns; the batch is the day, tickets are (user, k).
+
+    ``dealt`` spreads the rows of a file with few row groups over all tasks.
+    """
     ticket = F.concat_ws("-", "user_id", json_attribute("props", "k"))
     customer = F.when(F.col("value") <= ANONYMOUS_ABOVE, F.col("user_id").cast("string"))
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    events = events.hint("repartition") if dealt else events
+    return events.select(
         F.col("event_id").cast("string").alias("event_id"),
         customer.alias("customer_id"),
         _renamed("event_type", EVENT_NAMES).alias("event_type"),
@@ -137,7 +142,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Purchases of 2024-01-15 come a second time, five days newer, on another channel
     and moved to the next day.
     """
-    first = silver_events(spark, sf_dir).select(
+    first = silver_events(spark, sf_dir, dealt=True).select(
         "event_id", "customer_id", "event_type", "occurred_at", "updated_at", "channel", "properties"
     )
     wrong = (F.col("event_type") == "purchase") & (F.to_date("occurred_at") == F.lit("2024-01-15").cast("date"))

@@ -76,7 +76,9 @@ def save_raw(
         return None  # what an earlier attempt has stored stays
     bad = unreadable(updated_at) if df.schema[updated_at].dataType.typeName() == "string" else F.lit(False)
     seen = Observation()
-    counted = df.observe(
+    # A gzip file is read by one task, so the rows of a source read by few tasks are dealt
+    # evenly first; counted behind that, where a repeated task counts once.
+    counted = df.hint("repartition").observe(
         seen,
         mark_of(df, updated_at).alias("mark"),
         F.count("*").alias("all"),
