@@ -18,6 +18,9 @@ n - 0.75 n + 1 of both, and at both places so much must still follow.  Members a
 under these shingles only, and only pairs that pass that bound are made.  A member whose
 own shingles fill its prefix meets nobody, however large its family is.  Sets that hold
 the hub nearly whole reach the hub's shingles, where texts much shorter than the hub meet.
+Members also bring the parities of their shingles over ``WORDS`` * 64 places.  Each shingle
+that one set alone holds turns one place, so more than (n + m) / 7 places that differ rule
+a pair out for certain, before it is made: relatives below the threshold make few pairs.
 
 Pairs within one component or both linked with the hub are left out.  Each pair is
 estimated from the sketch of the union of both sketches, and survivors are confirmed on
@@ -50,6 +53,8 @@ K = 64
 SHARED = 28
 #: Six standard errors below the threshold of 0.75: what the estimate may let go.
 ESTIMATE = 0.42
+#: Of 64 parities each.
+WORDS = 16
 _NULL = (1 << 63) - 1
 
 
@@ -135,6 +140,12 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[keep]
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each place: whether an odd number of shingles falls there."""
+    places = (shingles % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pairs, both in _sets_of(batches, "a", "h"):
         extra = [np.setdiff1d(x, y, assume_unique=True) for x, y in both]
@@ -145,7 +156,12 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             room = _prefix(len(x)) - len(e)
             held.append(np.intersect1d(x, y, assume_unique=True)[:room] if room > 0 else x[:0])
         yield pairs.assign(
-            n=n, nh=nh, shared=shared, extra=[e.view(np.int64) for e in extra], held=[x.view(np.int64) for x in held]
+            n=n,
+            nh=nh,
+            shared=shared,
+            extra=[e.view(np.int64) for e in extra],
+            held=[x.view(np.int64) for x in held],
+            odd=[_parities(x) for x, _ in both],
         )
 
 
@@ -160,7 +176,7 @@ def _open_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
     placed = stars.join(found, stars.a == found.node, "left").withColumn("component", F.coalesce("component", "a"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     placed = staged(placed.drop("node").join(mixed.filter("lo <> hi").select("h"), "h"), "placed")
-    member = ["h", "a", "n", "linked", "component"]
+    member = ["h", "a", "n", "linked", "component", "odd"]
     extra, held = F.size("extra"), F.size("held")
     beyond = placed.select(*member, extra.alias("first"), F.lit(0).alias("at"), F.explode("extra").alias("v")).unionByName(
         # Behind all extra shingles, in the order of their hashes.
@@ -178,11 +194,13 @@ def _open_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
     )
     beyond = beyond.withColumn("place", place).filter("place < n - floor((3 * n + 3) / 4) + 1")
     x, y = beyond.alias("x"), beyond.alias("y")
+    differ = " + ".join(f"bit_count(x.odd[{k}] ^ y.odd[{k}])" for k in range(WORDS))
     pairs = x.join(
         y,
         F.expr(
-            """x.h = y.h and x.v = y.v and x.a > y.a and not (x.linked and y.linked) and x.component <> y.component
-               and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)"""
+            f"""x.h = y.h and x.v = y.v and x.a > y.a and not (x.linked and y.linked) and x.component <> y.component
+               and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)
+               and 7 * ({differ}) <= x.n + y.n"""
         ),
     )
     return pairs.select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct()
@@ -204,7 +222,7 @@ def _groups(texts: DataFrame) -> DataFrame:
     hubs = hubs.select("value", F.col("best.cls").alias("h"))
     met = lists.join(hubs, "value").filter("cls <> h").select(F.col("cls").alias("a"), "h").distinct()
     stars = _with_texts(staged(met, "met"), texts, "a", "h").mapInPandas(
-        _meet, f"a {kind}, h {kind}, n long, nh long, shared long, extra array<long>, held array<long>"
+        _meet, f"a {kind}, h {kind}, n long, nh long, shared long, extra array<long>, held array<long>, odd array<long>"
     )
     stars = staged(stars.withColumn("linked", F.expr("100 * shared >= 75 * (n + nh - shared)")), "stars")
     edges = staged(edges.unionByName(stars.filter("linked").select("a", F.col("h").alias("b"))), "edges")

@@ -243,6 +243,30 @@ class TestNear:
                 counts.append(made.pop().count())
             assert counts[2] <= max(5 * counts[0], 800), counts
 
+    def test_relatives_that_share_their_edits_make_few_pairs(self, spark, monkeypatch):
+        """Members of one family below the threshold that have edits in common: few pairs, the same groups."""
+        made, inner = [], near_dedup._open_pairs
+        monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: made.append(inner(*a)) or made[-1])
+        rng, texts = np.random.default_rng(5), []
+        for k in range(300):
+            text = [f"b{i}" for i in range(200)]
+            for block in rng.choice(20, 4, replace=False):
+                text[block * 10 : block * 10 + 10] = [f"v{rng.integers(3)}x{block}y{i}" for i in range(10)]
+            texts.append(" ".join(text))
+        sets = [shingles(t) for t in texts]
+        linked = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+        near = [(i, j) for i in range(300) for j in range(i) if linked(sets[i], sets[j])]
+        smallest = list(range(300))
+        for _ in range(300):
+            before = list(smallest)
+            for i, j in near:
+                smallest[i] = smallest[j] = min(smallest[i], smallest[j])
+            if smallest == before:
+                break
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()} == dict(enumerate(smallest))
+        assert made.pop().count() <= len(near) + 300
+
     def test_components(self, spark):
         edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
         found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
