@@ -13,6 +13,7 @@ every word, and prefix polynomials over those one for every n-gram, whatever its
    occurrence, and compares all other occurrences with it word by word; what differs
    becomes an entry of its own.  Phrases are written out where a table of pointers is
    full, once for each entry, and the shuffle adds them up by text.  All counts are of texts.
+   This pass has one task for each core, whatever the number of files.
 3. Cuts, contained phrases and ranks are joins and groupings of the frequent phrases.
 
 Blocks of a long text overlap by three words, so no occurrence is lost or counted twice.
@@ -45,6 +46,8 @@ from stratafold.llm.common import checked, staged, text_of
 
 BLOCK = 1 << 20
 ENTRIES = 800_000
+#: Phrases that are written out at a time.
+SLICE = 50_000
 #: Of the bit map of frequent fingerprints, a power of two.
 BITS = 1 << 26
 SPARE = 4
@@ -276,15 +279,16 @@ class _Table:
     def size(self) -> int:
         return max(self.merged, len(self.words))
 
-    def rows(self) -> pd.DataFrame:
+    def rows(self) -> Iterator[pd.DataFrame]:
+        """All sums, a slice at a time: phrases are spelled out for one slice only."""
         self.settle()
-        phrases, sizes, times = [b""], [0], [self.n_words]
-        for _, ids, sums in self.entries:
-            lengths = (ids >= 0).sum(axis=1)
-            phrases += [b" ".join([self.words[w] for w in row[:n]]) for row, n in zip(ids.tolist(), lengths.tolist(), strict=True)]
-            sizes += lengths.tolist()
-            times += sums.tolist()
-        return pd.DataFrame({"lang": self.lang, "size": sizes, "phrase": phrases, "times": times})
+        yield pd.DataFrame({"lang": [self.lang], "size": 0, "phrase": b"", "times": self.n_words})
+        for _, every, sums in self.entries:
+            for first in range(0, len(every), SLICE):
+                ids = every[first : first + SLICE]
+                lengths = (ids >= 0).sum(axis=1)
+                phrases = [b" ".join([self.words[w] for w in row[:n]]) for row, n in zip(ids.tolist(), lengths.tolist(), strict=True)]
+                yield pd.DataFrame({"lang": self.lang, "size": lengths, "phrase": phrases, "times": sums[first : first + SLICE]})
 
 
 def _count_phrases(batches: Iterator[pd.DataFrame], maps: Broadcast, mask: int | None) -> Iterator[pd.DataFrame]:
@@ -292,9 +296,11 @@ def _count_phrases(batches: Iterator[pd.DataFrame], maps: Broadcast, mask: int |
     for lang, block in _blocks(batches, mask):
         tables.setdefault(lang, _Table(lang)).add(block, maps.value)
         if sum(t.size() for t in tables.values()) > ENTRIES:
-            yield from (t.rows() for t in tables.values())
+            for table in tables.values():
+                yield from table.rows()
             tables.clear()
-    yield from (t.rows() for t in tables.values())
+    for table in tables.values():
+        yield from table.rows()
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, bits: int = BITS, mask: int | None = None) -> DataFrame:
@@ -316,7 +322,8 @@ def phrase_counts(docs: DataFrame, least: int = 30, bits: int = BITS, mask: int
         maps.append(_bit_map(frequent, bits))
         below = spark.sparkContext.broadcast(maps[-1])
     every = spark.sparkContext.broadcast(maps)
-    rows = texts.mapInPandas(
+    # A task sends each phrase it meets once, so as few tasks as keep all cores busy send the fewest rows.
+    rows = texts.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(
         partial(_count_phrases, maps=every, mask=mask), "lang string, size int, phrase binary, times long"
     )
     counted = rows.groupBy("lang", "size", "phrase").agg(F.sum("times").alias("times"))

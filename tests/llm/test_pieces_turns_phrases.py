@@ -249,6 +249,21 @@ class TestPhrases:
                     brute.update(("und" if lang is None else lang, n, " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
         assert +want == +brute
 
+    def test_each_core_sends_a_phrase_once(self, spark, monkeypatch):
+        """However many files there are, and in slices of any size."""
+        rows = [("en", "one two three four five. ")] * 64
+        df = spark.createDataFrame(rows, "lang string, text string").repartition(32)
+        plan = phrases.phrase_counts(df, 5)._jdf.queryExecution().executedPlan().toString()
+        assert f"Coalesce {spark.sparkContext.defaultParallelism}" in plan
+        table, one = phrases._Table("en"), phrases.Block(b"a b a b c", "en")
+        table.add(one, [np.full(1, ~np.uint64(0))] * 4)
+        whole = pd.concat(table.rows())
+        monkeypatch.setattr(phrases, "SLICE", 2)
+        parts = list(table.rows())
+        assert max(map(len, parts)) == 2 and Counter(pd.concat(parts).itertuples(index=False, name=None)) == Counter(
+            whole.itertuples(index=False, name=None)
+        )
+
     def test_no_level_loses_a_frequent_phrase(self, spark):
         rows = [("en", "one two three four five. ")] * 5 + [("en", "one two three")] * 4
         got = phrases.phrase_counts(self.frame(spark, rows), 5).filter("size > 0")
