@@ -40,7 +40,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ SHARED = 28
 ESTIMATE = 0.42
 #: Of 64 parities each.
 WORDS = 16
+#: Bytes of text whose sets a task holds at a time.
+SLICE = 1_000_000
 _NULL = (1 << 63) - 1
 
 
@@ -63,24 +66,48 @@ def _prefix(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pa.RecordBatch], *texts: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most ``SLICE`` bytes of text, or one row.
+
+    What a task makes of a run leaves before the next: sets, hashes and rows never pile up for a whole batch,
+    whose texts stay where Arrow put them.
+    """
     for batch in batches:
+        after = np.cumsum(sum(pc.binary_length(batch[t]).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+        at = 0
+        while at < batch.num_rows:
+            limit = SLICE + (after[at - 1] if at else 0)
+            stop = max(at + 1, int(np.searchsorted(after, limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _numbers(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A list of longs for each array of 64-bit numbers."""
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate([np.zeros(0, np.int64), *(x.view(np.int64) for x in arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _slices(batches, "text"):
         sizes, sums, xors, kept = [], [], [], []
-        for text in batch["text"]:
-            found = shingle_set(bytes(text))
+        for text in rows["text"].to_pylist():
+            found = shingle_set(text)
             other = mix(found ^ np.uint64(0x5851F42D4C957F2D))
             sizes.append(len(found))
             sums.append(int(other.sum(dtype=np.uint64).astype(np.int64)))
             xors.append(int(np.bitwise_xor.reduce(other).astype(np.int64)) if len(other) else 0)
             # Signed numbers in the order of the unsigned hashes.
-            kept.append((found[:K] ^ np.uint64(1 << 63)).view(np.int64))
-        yield pd.DataFrame({"node": batch["node"], "n": sizes, "d1": sums, "d2": xors, "sketch": kept})
+            kept.append(found[:K] ^ np.uint64(1 << 63))
+        longs = [pa.array(x, pa.int64()) for x in (sizes, sums, xors)]
+        yield pa.RecordBatch.from_arrays([rows["node"], *longs, _numbers(kept)], ["node", "n", "d1", "d2", "sketch"])
 
 
 def sketches(texts: DataFrame) -> DataFrame:
     """node, n, d1, d2 (digest of the set), sketch: one row for each row of node, text."""
     kind = texts.schema["node"].dataType.simpleString()
-    return texts.mapInPandas(_sketches, f"node {kind}, n long, d1 long, d2 long, sketch array<long>")
+    return texts.mapInArrow(_sketches, f"node {kind}, n long, d1 long, d2 long, sketch array<long>")
 
 
 def _lists(classes: DataFrame) -> DataFrame:
@@ -119,25 +146,25 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(same >= ESTIMATE * F.size("u")).select("a", "b")
 
 
-def _sets_of(batches: Iterator[pd.DataFrame], left: str, right: str) -> Iterator[tuple]:
-    """Batches with the full sets of both texts; the right one is made once for a run of rows."""
+def _sets_of(batches: Iterator[pa.RecordBatch], left: str, right: str) -> Iterator[tuple]:
+    """Runs of rows with the full sets of both texts; the right one is made once for a run of its rows."""
     name, found = None, None
-    for batch in batches:
+    for rows in _slices(batches, "tx", "ty"):
         both = []
-        for key, x, y in zip(batch[right], batch["tx"], batch["ty"], strict=True):
+        for k, (key, x) in enumerate(zip(rows[right].to_pylist(), rows["tx"].to_pylist(), strict=True)):
             if name is None or key != name:
-                name, found = key, shingle_set(bytes(y))
-            both.append((shingle_set(bytes(x)), found))
-        yield batch[[left, right]], both
+                name, found = key, shingle_set(rows["ty"][k].as_py())
+            both.append((shingle_set(x), found))
+        yield rows.select([left, right]), both
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for pairs, both in _sets_of(batches, "a", "b"):
         keep = []
         for x, y in both:
             shared = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * shared >= 75 * (len(x) + len(y) - shared) and shared > 0)
-        yield pairs.loc[keep]
+        yield pairs.filter(pa.array(keep, pa.bool_()))
 
 
 def _parities(shingles: np.ndarray) -> np.ndarray:
@@ -146,22 +173,20 @@ def _parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(places, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for pairs, both in _sets_of(batches, "a", "h"):
-        extra = [np.setdiff1d(x, y, assume_unique=True) for x, y in both]
-        n, nh = [len(x) for x, _ in both], [len(y) for _, y in both]
-        shared = [len(x) - len(e) for (x, _), e in zip(both, extra, strict=True)]
-        held = []
-        for (x, y), e in zip(both, extra, strict=True):
-            room = _prefix(len(x)) - len(e)
+        n, nh, shared, extra, held = [], [], [], [], []
+        for x, y in both:
+            extra.append(np.setdiff1d(x, y, assume_unique=True))
+            n.append(len(x))
+            nh.append(len(y))
+            shared.append(len(x) - len(extra[-1]))
+            room = _prefix(len(x)) - len(extra[-1])
             held.append(np.intersect1d(x, y, assume_unique=True)[:room] if room > 0 else x[:0])
-        yield pairs.assign(
-            n=n,
-            nh=nh,
-            shared=shared,
-            extra=[e.view(np.int64) for e in extra],
-            held=[x.view(np.int64) for x in held],
-            odd=[_parities(x) for x, _ in both],
+        longs = [pa.array(v, pa.int64()) for v in (n, nh, shared)]
+        lists = [_numbers(v) for v in (extra, held, [_parities(x) for x, _ in both])]
+        yield pa.RecordBatch.from_arrays(
+            [*pairs.columns, *longs, *lists], ["a", "h", "n", "nh", "shared", "extra", "held", "odd"]
         )
 
 
@@ -221,7 +246,7 @@ def _groups(texts: DataFrame) -> DataFrame:
     hubs = lists.groupBy("value").agg(F.max(F.struct("common", "cls")).alias("best"))
     hubs = hubs.select("value", F.col("best.cls").alias("h"))
     met = lists.join(hubs, "value").filter("cls <> h").select(F.col("cls").alias("a"), "h").distinct()
-    stars = _with_texts(staged(met, "met"), texts, "a", "h").mapInPandas(
+    stars = _with_texts(staged(met, "met"), texts, "a", "h").mapInArrow(
         _meet, f"a {kind}, h {kind}, n long, nh long, shared long, extra array<long>, held array<long>, odd array<long>"
     )
     stars = staged(stars.withColumn("linked", F.expr("100 * shared >= 75 * (n + nh - shared)")), "stars")
@@ -229,7 +254,7 @@ def _groups(texts: DataFrame) -> DataFrame:
 
     found = staged(components(edges), "found")
     more = staged(_estimated(_open_pairs(stars, found), classes), "pairs")
-    edges = edges.unionByName(_with_texts(more, texts, "a", "b").mapInPandas(_confirm, f"a {kind}, b {kind}"))
+    edges = edges.unionByName(_with_texts(more, texts, "a", "b").mapInArrow(_confirm, f"a {kind}, b {kind}"))
     found = staged(components(edges), "found")
     return rows.select("node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

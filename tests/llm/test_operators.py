@@ -267,6 +267,30 @@ class TestNear:
         assert {r.doc_id: r.component_id for r in near_dedup.near_groups(df).collect()} == dict(enumerate(smallest))
         assert made.pop().count() <= len(near) + 300
 
+    def test_tasks_hold_the_sets_of_a_slice(self):
+        """A batch of many texts, or of texts beyond a slice, leaves bit by bit, with the sets of each row."""
+        import pyarrow as pa
+
+        many = [" ".join(f"m{k}x{i}" for i in range(300)) for k in range(2000)]
+        few = [" ".join(f"f{k}x{i}" for i in range(200_000)) for k in range(3)]
+        for texts, runs in ((many, 3), (few, 3), (["", "one", many[0]], 1), ([], 0)):
+            n = len(texts)
+            ids, tx = pa.array(range(n), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())
+            ty = pa.array([texts[k // 2 * 2].encode() for k in range(n)], pa.binary())
+            hubs = pa.array([k // 2 * 2 for k in range(n)], pa.int64())
+            found = list(near_dedup._sketches(iter([pa.record_batch([ids, tx], ["node", "text"])])))
+            assert len(found) >= runs and [x for r in found for x in r["node"].to_pylist()] == list(range(n))
+            assert [x for r in found for x in r["n"].to_pylist()] == [len(shingles(t)) for t in texts]
+            pairs = pa.record_batch([ids, hubs, tx, ty], ["a", "h", "tx", "ty"])
+            rows = [x for r in near_dedup._meet(iter([pairs])) for x in r.to_pylist()]
+            both = [(shingles(t), shingles(texts[k // 2 * 2])) for k, t in enumerate(texts)]
+            assert [(r["a"], r["n"], r["nh"], r["shared"], len(r["extra"])) for r in rows] == [
+                (k, len(x), len(y), len(x & y), len(x - y)) for k, (x, y) in enumerate(both)
+            ]
+            assert len(list(near_dedup._meet(iter([pairs])))) >= runs
+            kept = [x for r in near_dedup._confirm(iter([pairs.rename_columns(["a", "b", "tx", "ty"])])) for x in r["a"].to_pylist()]
+            assert kept == [k for k, (x, y) in enumerate(both) if x and 100 * len(x & y) >= 75 * len(x | y)]
+
     def test_components(self, spark):
         edges = [(i + 1, i) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
         found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
